@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import as_text, in_slices
 
 _workers: dict[str, Encoder] = {}
-#: ASCII marks that end words.
+#: ASCII marks that end words, and ASCII letters and digits, by byte.
 MARKS = b".,;:!?*&%$#"
+IS_MARK = np.isin(np.arange(256), list(MARKS))
+IS_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 
 
 class Kept:
@@ -74,7 +76,8 @@ class Encoder:
         self.drops_blanks, self.lowers = self._traits(rules)
         self.names = {i: t.encode("utf-8") for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.shift = np.uint64(64 - max(0, mean_words.bit_length() - 1))
-        self.words, self.stems, self.chunks, self.joins = Kept(pieces), Kept(pieces), Kept(chunks), Kept(pieces // 8)
+        self.decimals = {i: str(i).encode() for i in self.names}
+        self.words, self.chunks, self.joins = Kept(pieces), Kept(chunks), Kept(pieces // 8)
 
     @staticmethod
     def _traits(rules: dict) -> tuple[bool, bool]:
@@ -90,15 +93,14 @@ class Encoder:
         return self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
 
     def _entry(self, ids: list[int]) -> Entry:
-        names = self.names
-        return len(ids), " ".join(map(str, ids)).encode(), b" ".join([names[i] for i in ids])
+        return len(ids), b" ".join(map(self.decimals.__getitem__, ids)), b" ".join(map(self.names.__getitem__, ids))
 
     def _fresh(self, pieces: list[bytes]) -> dict[bytes, Entry]:
         """Entries by the library. Plain pieces are encoded side by side in one call and told apart by their offsets."""
         out, plain, texts = {}, [], []
         for piece in pieces:
             text = piece.decode("utf-8", "surrogatepass")
-            if b"<" in piece or not (piece.isascii() or unicodedata.is_normalized("NFC", text)):
+            if b"<|" in piece or not (piece.isascii() or unicodedata.is_normalized("NFC", text)):
                 out[piece] = self._entry(self._ids(piece))
             else:
                 plain.append(piece), texts.append(text)
@@ -113,34 +115,29 @@ class Encoder:
                 out[piece] = self._entry(ids[cuts[j] : cuts[j + 1]])
         return out
 
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word as a stem that ends in a letter or digit, and marks after it, which pre-tokenization takes apart."""
-        if b"<" in word:
-            return word, b""
-        stem = word.rstrip(MARKS)
-        if len(stem) == len(word) or not stem or not stem.decode("utf-8", "surrogatepass")[-1].isalnum() or b"'" in word:
-            stem = word
-        return stem.lower() if self.lowers and stem.isascii() else stem, word[len(stem) :]
-
-    def _fill(self, missed: list[bytes]) -> dict[bytes, Entry]:
-        parts = {w: self._parts(w) for w in missed}
-        wanted = list(dict.fromkeys(p for pair in parts.values() for p in pair if p))
-        known = dict(zip(wanted, self.stems.many(wanted), strict=True))
-        if lacking := [p for p, e in known.items() if e is None]:
-            fresh = self._fresh(lacking)
-            known |= fresh
-            for p, e in fresh.items():
-                self.stems.put(p, e)
-        out = {w: known[a] if not b else self._sum([known[a], known[b]]) for w, (a, b) in parts.items()}
-        for w, e in out.items():
-            self.words.put(w, e)
-        return out
-
     @staticmethod
     def _sum(entries: list[Entry]) -> Entry:
         entries = [e for e in entries if e[0]]
         return sum([e[0] for e in entries]), b" ".join([e[1] for e in entries]), b" ".join([e[2] for e in entries])
 
+    def prepared(self, text: str) -> bytes:
+        """The text in UTF-8. If blanks are dropped, with a blank wherever a mark follows a letter or digit, which
+        pre-tokenization takes apart anyway, and A-Z in lower case where the tokenizer does that and no letter can
+        combine with what follows it; so words with and without marks are the same piece."""
+        data = text.encode("utf-8", "surrogatepass")
+        if not self.drops_blanks:
+            return data
+        low = data.lower()
+        if self.lowers and low != data and b"<" not in data:
+            if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low.decode("utf-8", "surrogatepass")):
+                data = low
+        raw = np.frombuffer(data, np.uint8)
+        at = np.flatnonzero(IS_MARK[raw[1:]]) + 1
+        before = raw[at - 1]
+        latin = (raw[np.maximum(at - 2, 0)] == 0xC3) & (at > 1) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)  # U+00C0 to U+00FF but the two signs
+        at = at[IS_ALNUM[before] | latin]
+        return np.insert(raw, at, 32).tobytes() if len(at) else data
+
     def cut(self, data: bytes) -> list[bytes]:
         """Chunks; each but the first begins with a blank."""
         raw = np.frombuffer(data, np.uint8)
@@ -182,7 +179,7 @@ class Encoder:
             words = [w for p in some for w in p]
             if self.drops_blanks:
                 apart = self._sum(self._words(words))
-                same = " ".join(map(str, self._ids(b" ".join(words)))).encode() == apart[1]
+                same = self._entry(self._ids(b" ".join(words)))[1] == apart[1]
             else:
                 same = False
             for p in some:
@@ -192,7 +189,11 @@ class Encoder:
 
     def _words(self, words: list[bytes]) -> list[Entry]:
         values = self.words.many(words)
-        fresh = self._fill(list(dict.fromkeys([w for w, e in zip(words, values, strict=True) if e is None]))) if None in values else {}
+        if None not in values:
+            return values
+        fresh = self._fresh(list(dict.fromkeys([w for w, e in zip(words, values, strict=True) if e is None])))
+        for w, e in fresh.items():
+            self.words.put(w, e)
         return [fresh[w] if e is None else e for w, e in zip(words, values, strict=True)]
 
     def _repaired(self, chunks: list[bytes], found: list[tuple[Entry, bytes, bytes]], agrees) -> list[tuple[Entry, bytes, bytes]]:
@@ -209,7 +210,7 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[Entry]:
-        cuts = [self.cut(t.encode("utf-8", "surrogatepass")) for t in texts]
+        cuts = [self.cut(self.prepared(t)) for t in texts]
         of = self._entries([c for chunks in cuts for c in chunks])
         found = [[of[c] for c in chunks] for chunks in cuts]
         joins = self._joins([(a[2], b[1]) for f in found for a, b in zip(f, f[1:], strict=False) if a[2] and b[1]])
