@@ -178,7 +178,7 @@ class Compiler:
 
             def compared(env: dict) -> bool:
                 values = [f(env) for _, f in parts]
-                return all(op(a, b) for op, a, b in zip(ops, values, values[1:], strict=True))
+                return all(op(a, b) for op, a, b in zip(ops, values[:-1], values[1:], strict=True))
 
             return self.folded(all(c for c, _ in parts), compared)
         if isinstance(node, ast.IfExp):
