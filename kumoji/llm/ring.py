@@ -47,7 +47,7 @@ def filled(counts: dict[int, int], nodes: list[tuple[int, int]], room: list[int]
     at: list[list[int]] = [[] for _ in room]
     for i, (_, s) in enumerate(nodes):
         at[s].append(i)
-    ahead = list(range(n))  # ahead[i] == i: node i has room; else where to go on from
+    ahead = list(range(n))  # ahead[i] == i: node i has room; else where to go on from. Nothing is sought once all are full
 
     def find(i: int) -> int:
         path = []
@@ -60,14 +60,7 @@ def filled(counts: dict[int, int], nodes: list[tuple[int, int]], room: list[int]
 
     def shut(s: int) -> None:
         for i in at[s]:
-            if not (sum(used) == sum(room)):
-                ahead[i] = _next_open(i)
-
-    def _next_open(i: int) -> int:
-        j = (i + 1) % n
-        while room[nodes[j][1]] == used[nodes[j][1]]:
-            j = (j + 1) % n
-        return j
+            ahead[i] = (i + 1) % n
 
     for s, r in enumerate(room):
         if not r:
