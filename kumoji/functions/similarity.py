@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -20,18 +19,36 @@ def dice(a: str, b: str) -> float:
     return 2 * sum((x & y).values()) / total if total else 0.0
 
 
+def prefix_lcs(a: str, b: str) -> list[int]:
+    """The longest common subsequence of a with each prefix of b, bit-parallel: a bit of V is clear where a row of the
+    table steps up."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = v = (1 << len(a)) - 1
+    out = []
+    for c in b:
+        u = v & places.get(c, 0)
+        v = (v + u | v - u) & full
+        out.append(len(a) - v.bit_count())
+    return out
+
+
+def prefix_shared_bigrams(a: str, b: str) -> list[int]:
+    """How many bigrams a shares with each prefix of b, as multisets."""
+    left = bigrams(a)
+    out, same = [], 0
+    for i in range(len(b)):
+        g = b[i - 1 : i + 1] if i else ""
+        if i and left[g] > 0:
+            left[g] -= 1
+            same += 1
+        out.append(same)
+    return out
+
+
 def lcs_length(a: str, b: str) -> int:
-    """Row by row; within a row the running maximum does what the left neighbour does."""
-    if not a or not b:
-        return 0
-    other = np.array(list(b))
-    row = np.zeros(len(b) + 1, np.int32)
-    for c in a:
-        step = row.copy()
-        hit = np.flatnonzero(other == c)
-        step[hit + 1] = row[hit] + 1
-        row = np.maximum.accumulate(np.maximum(step, row))
-    return int(row[-1])
+    return prefix_lcs(a, b)[-1] if a and b else 0
 
 
 def lcs(a: str, b: str) -> float:

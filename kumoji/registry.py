@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus_queries, source_queries
+from .plans import align_queries, corpus_queries, source_queries
 
-MODULES = (corpus_queries, source_queries)
+MODULES = (corpus_queries, source_queries, align_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
