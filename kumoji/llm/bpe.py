@@ -32,6 +32,7 @@ _workers: dict[str, Encoder] = {}
 #: ASCII marks that end words, and ASCII letters and digits, by byte.
 MARKS = b".,;:!?*&%$#"
 IS_MARK = np.isin(np.arange(256), list(MARKS))
+IS_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 IS_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 
 
@@ -143,6 +144,9 @@ class Encoder:
         raw = np.frombuffer(data, np.uint8)
         at = np.flatnonzero((raw == 32) | (raw == 10))
         at = at[at >= 8]
+        if not self.drops_blanks:  # single spaces between words only, as the check of a join puts one there
+            at = at[(raw[at] == 32) & (at + 1 < len(raw))]
+            at = at[~IS_BLANK[raw[at - 1]] & ~IS_BLANK[raw[at + 1]]]
         if not len(at):
             return [data]
         last8 = np.lib.stride_tricks.sliding_window_view(raw, 8)[at - 8].copy().view("<u8")[:, 0]

@@ -140,7 +140,7 @@ def _resplit(rows: DataFrame, bits: int, budget: int) -> DataFrame:
     return pairs.select(F.unhex(F.md5(F.concat(F.col("g"), F.encode(F.concat_ws(",", low, "mask"), "utf-8")))).alias("g"), "fp")
 
 
-def links(distinct: DataFrame, budget: int = 3, max_group: int = 1 << 17, rounds: int = 4) -> DataFrame:
+def links(distinct: DataFrame, budget: int = 3, max_group: int = 1 << 17, rounds: int = 2) -> DataFrame:
     """(u, v): pairs of fingerprints within `budget` bits (at most 3) that connect all that are so linked. distinct has fp, without repeats."""
     if not 0 < budget <= 3:
         raise ValueError("the five blocks guarantee at most three differing bits")
