@@ -18,8 +18,6 @@ STRUCTURAL = r"^[-=_ー―—–─ 　]+$|^★|^【[^】]*】$"
 #: Calls to support a show, after any bullet; a list that callers may replace.
 BOILERPLATE = (r"(?i)\bdonat", r"(?i)\bsupport (?:me|us|the show)\b", r"(?i)\bpatreon\b", r"サポート.*お願い", r"寄付")
 
-_NOT_WORD = re.compile(r"[^\w]|_", re.U)
-
 
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
@@ -46,7 +44,7 @@ def structural(line: Column) -> Column:
 
 def sentences(text: Column, terminators: str = TERMINATORS) -> Column:
     """The text's sentences in order: runs up to and with terminators, within lines; structural lines drop out."""
-    marks = re.escape(terminators).replace("\\。", "。")
+    marks = re.escape(terminators)
     found = F.regexp_extract_all(text, F.lit(rf"[^{marks}\n]+[{marks}]*"), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: (F.length(s) > 0) & ~structural(s))
 
