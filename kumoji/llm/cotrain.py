@@ -148,9 +148,6 @@ def _constant(share: float) -> Model:
     return Model([np.r_[np.zeros(s), bias] for s in sizes], [np.array([1.0, 0.0])] * 2, np.array([0.5, 0.5, 0.0]))
 
 
-COLUMNS = ["id", "text", "source", "lang", "chars"]
-
-
 def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, chars_col: str) -> DataFrame:
     text = as_text(text_col)
     chars = F.coalesce(F.col(chars_col).cast("bigint"), F.length(text).cast("bigint"))

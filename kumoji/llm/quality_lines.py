@@ -86,7 +86,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     often = frequent_lines(rows, share, min_docs).withColumnsRenamed({"host": "o_host", "h": "o_h"})
     lines = rows.select("doc_id", "host", "version", F.explode("lines").alias("x")).select("doc_id", "host", "version", "x.h", "x.n")
     gone = lines.join(often, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("h") == F.col("o_h")), "left_semi")
-    # Rows with equal id, host and text would add up; the smallest line sum of one copy is found by counting copies.
+    # Rows with equal id, host and text add up here; dividing by their number gives one row's share.
     gone = gone.groupBy("doc_id", "host", "version").agg(F.sum("n").alias("gone"))
     copies = rows.groupBy("doc_id", "host", "version").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])).alias("all_chars"))
     share_gone = copies.join(gone, copies["doc_id"].eqNullSafe(gone["doc_id"]) & copies["host"].eqNullSafe(gone["host"]) & (copies["version"] == gone["version"]), "left")
