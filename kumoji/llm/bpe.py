@@ -26,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, in_slices
+from .common import as_text, in_slices, worker_held
 
-_workers: dict[str, Encoder] = {}
 #: ASCII marks that end words, and ASCII letters and digits, by byte.
 MARKS = b".,;:!?*&%$#"
 IS_MARK = np.isin(np.arange(256), list(MARKS))
@@ -229,14 +228,6 @@ class Encoder:
         return out
 
 
-def _encoder(shared, key: str) -> Encoder:
-    """The worker's encoder: kept from task to task."""
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Encoder(shared.value)
-    return _workers[key]
-
-
 def _mapped(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: str, row, names: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
     with open(tokenizer_file, encoding="utf-8") as f:
         source = f.read()
@@ -244,7 +235,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: str, ro
     rows = docs.select(F.col(id_col).alias("doc_id"), as_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, key)
+        encoder = worker_held(f"bpe {key}", lambda: Encoder(shared.value))
         for batch in batches:
             for part in in_slices(batch, "text", 1 << 20):
                 out = [row(*e) for e in encoder.encode(part.column("text").to_pylist())]

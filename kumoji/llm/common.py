@@ -87,3 +87,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+_held: dict[str, object] = {}
+
+
+def worker_held(key: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task. One thing at a time: workers outlive a stage, and what an earlier
+    operator left behind would take memory from the next one."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

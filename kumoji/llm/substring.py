@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_map, as_text
+from .common import arrow_map, as_text, worker_held
 
 #: A perfect difference set modulo 31; each remainder but 0 is one difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -46,7 +46,6 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -64,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(worker_held("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
