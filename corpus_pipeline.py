@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kumoji.llm import bpe, decontaminate, simhash, substring, toxicity
+from kumoji.llm import bpe, decontaminate, nearcopies, substring, toxicity
 from kumoji.llm.common import Scratch, table, tokenizer_path
 
 
@@ -14,7 +14,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs)
+    """Near copies share 0.8 or more of their five-word shingles; op1's digest (three words, three bits) is a contract of op1 only."""
+    return nearcopies.near_dedup(docs, width=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity_filter), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("encoding", encoding)]
 
-#: The toxicity scores and the fingerprints have no SQL; tests/llm holds the stages against brute force.
+#: The toxicity scores and the near copies have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

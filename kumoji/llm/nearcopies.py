@@ -1,0 +1,150 @@
+"""Near-dedup by the Jaccard similarity of word shingles: MinHash candidates, each verified exactly.
+
+Documents with the same set of shingles are one node. A node has `bands` bucket keys of ROWS minima each, so many that
+a pair at the limit shares no bucket with a probability of MISS at most (a more similar pair with less). Within a
+bucket pairs are verified on the whole sets, but those of one component already: first every node against one of the
+bucket, in rounds, so that a large group of near copies costs about its size; what is still in several components is
+then verified pair by pair. Nothing is capped or sampled.
+
+Shingles are compared by 64-bit hashes, and so are whole sets. Words split at the six ASCII blanks, A-Z in lower case;
+a text of fewer words than a shingle is one shingle.
+
+Nulls and odd rows: null and texts without words are copies of each other; a null doc_id never names a component;
+repeated rows are one document; other columns are kept.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from .common import Scratch, as_text, in_slices
+from .simhash import SEED, connected
+
+ROWS, MISS = 5, 4e-6
+#: Shingles whose minima are taken at once.
+SLICE = 1 << 12
+#: Rounds in which a bucket's nodes are verified against one of them, and pairs a member for which no more such rounds are made.
+STARS, FEW = 4, 4
+
+
+def bands_for(similarity: float) -> int:
+    return math.ceil(math.log(MISS) / math.log1p(-(similarity**ROWS)))
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """The text's distinct shingles as sorted hashes."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    join = b" ".join
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(join(words), SEED)], np.uint64)
+    grams = zip(*(words[k:] for k in range(width)), strict=False)
+    return np.unique(np.fromiter((xxh64_intdigest(join(g), SEED) for g in grams), np.uint64))
+
+
+def buckets(s: np.ndarray, bands: int) -> list[int]:
+    """A key for each band: the least values of the set under ROWS functions."""
+    if not len(s):
+        return []
+    rng = np.random.default_rng(SEED)
+    factor = rng.integers(0, 1 << 32, (2, bands * ROWS), dtype=np.uint32) | np.uint32(1)
+    low, high = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(bands * ROWS, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(s), SLICE):
+        x = (low[a : a + SLICE, None] ^ factor[0]) * factor[1] + high[a : a + SLICE, None]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, x.min(axis=0), out=least)
+    raw = least.tobytes()
+    return [xxh64_intdigest(raw[k * ROWS * 4 : (k + 1) * ROWS * 4], k) for k in range(bands)]
+
+
+def sets(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int) -> DataFrame:
+    """(doc_id, node, n, buckets, s) of each row: node names the set s of n shingles."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_text(text_col).alias("text"))
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_slices(batch, "text", 4 << 20):
+                found = [shingles(t.as_py(), width) for t in part.column("text")]
+                nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
+                keys = [np.array(buckets(s, bands), np.uint64) for s in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes), pa.array([len(s) for s in found], pa.int32()), lists(keys), lists(found)], ["doc_id", "node", "n", "buckets", "s"])
+
+    return rows.mapInArrow(run, "doc_id bigint, node bigint, n int, buckets array<bigint>, s array<bigint>")
+
+
+def _verified(pairs: DataFrame, of: DataFrame, permille: int, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough; the sizes, which bound the similarity, have been compared."""
+    wanted = scratch.keep(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    own = scratch.keep(of.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(own.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b")).cast("bigint")
+    return both.where(shared * (1000 + permille) >= permille * (F.size("a") + F.size("b")).cast("bigint")).select("u", "v")
+
+
+def links(nodes: DataFrame, similarity: float) -> DataFrame | None:
+    """(node, root) of all nodes that are linked to another one, or None; nodes has node, n, buckets and s, in any number of equal rows."""
+    spark, permille = nodes.sparkSession, round(1000 * similarity)
+    scratch = Scratch(spark, "nearcopies")
+    rows = nodes.select("node", "n", F.explode("buckets").alias("k"))
+    shared = rows.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("k")
+    members = scratch.keep(rows.join(shared, "k").distinct())
+    total = members.count()
+    edges, roots = None, None
+    for round_ in range(STARS + 1):
+        labelled = members.withColumn("c", F.col("node")) if roots is None else members.join(roots, "node", "left").select("node", "n", "k", F.coalesce("root", "node").alias("c"))
+        least = F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d")), F.xxhash64("node", F.lit(round_)))
+        alive = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), least.alias("one")).where("low < high")
+        alive, labelled = scratch.keep(alive.select("k", "size", "one.*")), scratch.keep(labelled)
+        most = alive.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0]
+        if not most:
+            break
+        last = round_ == STARS or most <= FEW * total
+        near = (1000 * F.least("n", "m") >= permille * F.greatest("n", "m")) & (F.col("c") != F.col("d"))
+        if last:
+            left = labelled.join(alive.select("k"), "k")
+            pairs = left.join(left.select("k", F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d")), "k").where("u < node").where(near)
+        else:
+            pairs = labelled.join(alive, "k").where(near)
+        pairs = scratch.keep(pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
+        fresh = scratch.keep(_verified(pairs, nodes.select("node", "s"), permille, scratch))
+        edges = fresh if edges is None else edges.unionAll(fresh)
+        roots = connected(edges, spark)
+        if last:
+            break
+    return roots
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, node, component_id) of each row: component_id is the smallest doc_id reachable by pairs that are similar enough."""
+    own = Scratch(docs.sparkSession, "shingles").keep(sets(docs, id_col, text_col, width, bands_for(similarity)))
+    distinct = own.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    roots = links(own, similarity)
+    rooted = distinct.withColumn("root", F.col("node")) if roots is None else distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return own.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the near copies: of each component the document with the smallest id stays, once.
+
+    A row without an id goes if it is linked to one that has an id; else it stays, once for each text.
+    """
+    found = components(docs, id_col, text_col, width, similarity)
+    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(keep, F.col(id_col).cast("bigint").eqNullSafe(F.col("__keep")), "left_semi")
+    ids = kept.select(id_col)
+    return kept.dropDuplicates([id_col, text_col]) if ids.groupBy(id_col).count().where("count > 1").take(1) else kept
