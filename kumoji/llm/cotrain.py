@@ -39,8 +39,10 @@ class _Shapes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT:
             self.clear()
-        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-        value = self[word] = zlib.crc32(RUNS.sub(r"\1", kinds).encode("utf-8", "surrogatepass")) % SHAPES
+        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+        value = zlib.crc32(RUNS.sub(r"\1", kinds).encode("utf-8", "surrogatepass")) % SHAPES
+        if len(word) <= 64:  # longer ones hardly come again
+            self[word] = value
         return value
 
 

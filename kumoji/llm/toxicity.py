@@ -3,7 +3,9 @@
 A word's vector is the mean of the vectors of its hashed n-grams and of itself, a segment's vector the mean over its
 words, and the softmax is linear in that; embeddings and softmax are trained together in numpy. A misspelling that
 was never seen shares most n-grams, and so most of its vector, with what was. A text is scored in segments of
-`segment` words, whose most toxic one decides, so that a few lines in a very long text are not averaged away.
+`segment` words, whose most toxic one decides, so that a few lines in a very long text are not averaged away. A run
+of over LONGEST characters without a blank is cut into pieces that overlap by all but one character of the longest
+n-gram and count as words of their own, so text without blanks is read to its end and by segments too.
 
 Training takes at most `per_class` labelled documents of each class, chosen by a hash of the id and not by the
 order of rows; scoring covers every document in one pass without a shuffle. As the model is linear, a word's share
@@ -31,15 +33,32 @@ BUCKETS = 1 << 20
 MIN_DOCS, MIN_ODDS = 5, 1.0
 SIZES = (3, 4, 5, 6)
 STRIP = ".,;:!?*&%$#\"'()[]{}<>"
+#: Characters of the longest word that stays whole, and of the pieces that longer ones are cut into, which share OVERLAP with the next.
+LONGEST, PIECE, OVERLAP = 64, 16, SIZES[-1] - 1
 #: Words of a segment.
 SEGMENT = 64
 #: Words a worker keeps before it starts anew.
 KEPT = 250_000
 
 
+def split_words(text: str) -> list[str]:
+    """The text's words in lower case; a piece of a longer word starts with a blank, which no word does."""
+    words = text.lower().split()
+    if not words or len(max(words, key=len)) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONGEST or len(bare := w.strip(STRIP)) <= LONGEST:
+            out.append(w)
+        else:
+            marked = f"<{bare}>"
+            out += [" " + marked[a : a + PIECE] for a in range(0, len(marked) - OVERLAP, PIECE - OVERLAP)]
+    return out
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' character n-grams and of the words themselves, and which word each belongs to."""
-    marked = [f"<{w.strip(STRIP)[:64]}>" for w in words]
+    marked = [w[1:] if w[0] == " " else f"<{w.strip(STRIP)}>" for w in words]
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(m) for m in marked])
     word = np.repeat(np.arange(len(words)), sizes)
@@ -62,12 +81,12 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)  # the upper 20 bits
 
 
-_POWERS = np.cumprod(np.full(66, 0x9E3779B97F4A7C55, np.uint64))
+_POWERS = np.cumprod(np.full(LONGEST + 2, 0x9E3779B97F4A7C55, np.uint64))
 
 
 def segments(text: str, size: int) -> list[list[str]]:
     """Runs of `size` words; the last one is filled up from the words before it."""
-    words = text.lower().split()
+    words = split_words(text)
     if len(words) <= size:
         return [words]
     starts = [*range(0, len(words) - size, size), len(words) - size]
@@ -170,7 +189,7 @@ class Scorer:
         return np.array(values, np.float64)
 
     def scores(self, texts: list[str], size: int) -> np.ndarray:
-        split = [t.lower().split() for t in texts]
+        split = [split_words(t) for t in texts]
         ends = np.cumsum([0] + [len(w) for w in split]).tolist()
         own = self.shares([w for words in split for w in words])
         most = np.array([self._most(own[a:b], size) for a, b in zip(ends[:-1], ends[1:], strict=True)])
@@ -211,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sizes = [0, 0]
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held[y][bag(text.lower().split())[0]] += 1
+                held[y][bag(split_words(text))[0]] += 1
                 sizes[y] += 1
         at = [np.flatnonzero(h) for h in held]
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(sizes, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array([h[a] for h, a in zip(held, at, strict=True)], pa.list_(pa.int32()))], ["y", "docs", "at", "n"])

@@ -5,9 +5,9 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from kumoji.llm import nearcopies, simhash
+from kumoji.llm import cotrain, nearcopies, simhash, toxicity
 
-from test_llm import ODD, docs_of, prose
+from test_llm import ODD, docs_of, labelled, prose
 
 
 def edited(text, rng, times):
@@ -60,3 +60,28 @@ def test_near_copy_candidates_at_the_limit():
         a, b = np.sort(x[:99]), np.sort(x[11:])  # 88 of 110
         missed += not set(enumerate(nearcopies.buckets(a, bands))) & set(enumerate(nearcopies.buckets(b, bands)))
     assert missed == 0
+
+
+def test_toxic_words_beyond_the_first_characters_of_a_text_without_blanks(spark):
+    rows, labels = labelled(spark)
+    model = toxicity.fit(docs_of(spark, rows), labels)
+    texts = []
+    for k in range(8):
+        words = prose(7000 + k, 150).split()
+        bad = [*words[:60], *(f"nasty{c}7" for c in "abcdef"), *words[60:]]
+        texts += [glue.join(x) for glue in ("_", "-", "") for x in (words, bad)]
+    got = {r.doc_id: r for r in toxicity.scores(docs_of(spark, list(enumerate(texts))), model).collect()}
+    assert [got[k].predicted for k in range(len(texts))] == [k % 2 for k in range(len(texts))]
+    kept = toxicity.keep(docs_of(spark, list(enumerate(texts))), model).collect()
+    assert {r.doc_id for r in kept} == set(range(0, len(texts), 2))
+
+
+def test_every_ngram_of_a_long_word_is_in_a_piece():
+    for n in (64, 65, 66, 75, 76, 77, 200, 1001):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.split_words(f"a {word}. b")[1:-1]
+        parts = [p[1:] if p[0] == " " else f"<{p.strip(toxicity.STRIP)}>" for p in pieces]
+        marked = f"<{word}>"
+        for size in toxicity.SIZES:
+            assert {marked[i : i + size] for i in range(len(marked) - size + 1)} == {p[i : i + size] for p in parts for i in range(len(p) - size + 1)}
+    assert cotrain._shapes["a" * 64 + "0"] != cotrain._shapes["a" * 64]
