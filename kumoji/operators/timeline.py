@@ -43,14 +43,19 @@ def monotonic_violations(rows: DataFrame, by: str, order: list[str], start: str,
 
 
 def context(rows: DataFrame, by: str, order: str, column: str, size: int = 80) -> DataFrame:
-    """rows with the text before them, and the following texts until `size` characters are reached."""
+    """rows with the text before them, and the following texts until `size` characters are reached.
+
+    The frame ahead is bounded by characters and not by rows. It is taken at the next row, whose count of characters
+    before it is this row's with its own; rows with the same count that come earlier are left out by their place.
+    """
     w = Window.partitionBy(by).orderBy(order)
-    length = F.length(column)
-    upto = F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("previous", F.lag(column).over(w)).withColumn("__upto", upto)
-    ahead = F.collect_list(F.struct(F.col(column).alias("t"), F.col("__upto").alias("u"))).over(w.rowsBetween(1, size))  # at most `size` rows: each has a character, blank rows aside
-    wanted = F.filter(ahead, lambda x: (x["u"] - F.length(x["t"]) - F.col("__upto")) < size)
-    return out.withColumn("following", F.array_join(F.transform(wanted, lambda x: x["t"]), " ")).drop("__upto")
+    length = F.coalesce(F.length(column), F.lit(0))
+    out = rows.withColumns({"previous": F.lag(column).over(w), "__place": F.row_number().over(w), "__before": F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)) - length})
+    near = Window.partitionBy(by).orderBy("__before").rangeBetween(0, size - 1)
+    out = out.withColumn("__near", F.sort_array(F.collect_list(F.struct(F.col("__place").alias("k"), F.col(column).alias("t"))).over(near)))
+    ahead = F.coalesce(F.lead("__near").over(Window.partitionBy(by).orderBy("__place")), F.array())
+    wanted = F.filter(ahead, lambda x: x["k"] > F.col("__place"))
+    return out.withColumn("following", F.array_join(F.transform(wanted, lambda x: x["t"]), " ")).drop("__place", "__before", "__near")
 
 
 def interpolated(rows: DataFrame, by: str, order: str, value: str, weight: str) -> DataFrame:
