@@ -10,6 +10,7 @@ import bisect
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,9 +79,7 @@ def lattice(cues: Iterable[tuple[float, float, str]]) -> Lattice:
 
 def _occurrences(text: str, part: str, low: int, high: int) -> Iterable[int]:
     at = text.find(part, low)
-    for _ in range(OCCURRENCES):
-        if at < 0 or at >= high:
-            return
+    while 0 <= at < high:
         yield at
         at = text.find(part, at + 1)
 
@@ -98,7 +97,7 @@ def best_candidate(unit: Unit, before: str, after: str, lat: Lattice, cursor: in
     needle, text = unit.norm, lat.text
     low = max(0, cursor - 25)
     high = min(len(text), low + WINDOW + len(needle))
-    starts = sorted({at - offset for part, offset in anchors(needle) for at in _occurrences(text, part, low, high) if at - offset >= low})
+    starts = sorted({at - offset for part, offset in anchors(needle) for at in islice(_occurrences(text, part, low, high), OCCURRENCES) if at - offset >= low})
     if not starts:
         starts = range(low, high, max(1, len(needle) // 3))
     step = 1 if len(needle) < 18 else 2 if len(needle) < 50 else 4

@@ -2,7 +2,7 @@
 
 import random
 
-from kumoji.operators import timeline
+from kumoji.operators import align, timeline
 
 
 def test_context_reaches_over_any_number_of_blank_rows(spark):
@@ -20,3 +20,9 @@ def test_context_reaches_over_any_number_of_blank_rows(spark):
                 size += len(t or "")
             assert got[k, i] == (own[i - 1] if i else None, " ".join(t for t in ahead if t is not None))
     assert len(got) == len(rows)
+
+
+def test_cue_anchor_looks_at_every_occurrence():
+    cues = [(float(k), k + 0.9, "abyy") for k in range(60)] + [(60.0, 60.9, "abxd")]  # only "ab" is shared
+    found = align.cue_anchor(align.Unit(0, 0, "abcd", "abcd"), align.lattice(cues), 0.0, 100.0)
+    assert found[0] == 60.0
