@@ -95,22 +95,23 @@ def _verified(pairs: DataFrame, of: DataFrame, permille: int, scratch: Scratch)
     return both.where(shared * (1000 + permille) >= permille * (F.size("a") + F.size("b")).cast("bigint")).select("u", "v")
 
 
-def links(nodes: DataFrame, similarity: float) -> DataFrame | None:
+def links(nodes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame | None:
     """(node, root) of all nodes that are linked to another one, or None; nodes has node, n, buckets and s, in any number of equal rows."""
     spark, permille = nodes.sparkSession, round(1000 * similarity)
-    scratch = Scratch(spark, "nearcopies")
     rows = nodes.select("node", "n", F.explode("buckets").alias("k"))
     shared = rows.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("k")
     members = scratch.keep(rows.join(shared, "k").distinct())
     total = members.count()
     edges, roots = None, None
     for round_ in range(STARS + 1):
+        work = Scratch(spark, "nearcopies-round")  # goes when the round's links are written
         labelled = members.withColumn("c", F.col("node")) if roots is None else members.join(roots, "node", "left").select("node", "n", "k", F.coalesce("root", "node").alias("c"))
         least = F.min_by(F.struct(F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d")), F.xxhash64("node", F.lit(round_)))
         alive = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), least.alias("one")).where("low < high")
-        alive, labelled = scratch.keep(alive.select("k", "size", "one.*")), scratch.keep(labelled)
+        alive, labelled = work.keep(alive.select("k", "size", "one.*")), work.keep(labelled)
         most = alive.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0]
         if not most:
+            work.drop(work.root)
             break
         last = round_ == STARS or most <= FEW * total
         near = (1000 * F.least("n", "m") >= permille * F.greatest("n", "m")) & (F.col("c") != F.col("d"))
@@ -119,8 +120,9 @@ def links(nodes: DataFrame, similarity: float) -> DataFrame | None:
             pairs = left.join(left.select("k", F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d")), "k").where("u < node").where(near)
         else:
             pairs = labelled.join(alive, "k").where(near)
-        pairs = scratch.keep(pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
-        fresh = scratch.keep(_verified(pairs, nodes.select("node", "s"), permille, scratch))
+        pairs = work.keep(pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
+        fresh = scratch.keep(_verified(pairs, nodes.select("node", "s"), permille, work))
+        work.drop(work.root)
         edges = fresh if edges is None else edges.unionAll(fresh)
         roots = connected(edges, spark)
         if last:
@@ -128,11 +130,12 @@ def links(nodes: DataFrame, similarity: float) -> DataFrame | None:
     return roots
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, node, component_id) of each row: component_id is the smallest doc_id reachable by pairs that are similar enough."""
-    own = Scratch(docs.sparkSession, "shingles").keep(sets(docs, id_col, text_col, width, bands_for(similarity)))
+    scratch = scratch or Scratch(docs.sparkSession, "nearcopies")
+    own = scratch.keep(sets(docs, id_col, text_col, width, bands_for(similarity)))
     distinct = own.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    roots = links(own, similarity)
+    roots = links(own, similarity, scratch)
     rooted = distinct.withColumn("root", F.col("node")) if roots is None else distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return own.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
@@ -143,8 +146,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row without an id goes if it is linked to one that has an id; else it stays, once for each text.
     """
-    found = components(docs, id_col, text_col, width, similarity)
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "nearcopies")
+    found = components(docs, id_col, text_col, width, similarity, scratch)
+    keep = Scratch(spark, "nearcopies-kept").keep(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct())
+    scratch.drop(scratch.root)  # the shingles are several times the texts; the next stages need the disk
     kept = docs.join(keep, F.col(id_col).cast("bigint").eqNullSafe(F.col("__keep")), "left_semi")
     ids = kept.select(id_col)
     return kept.dropDuplicates([id_col, text_col]) if ids.groupBy(id_col).count().where("count > 1").take(1) else kept
