@@ -4,36 +4,43 @@ A window is `window` consecutive words of one document; a word goes if a window
 with a smaller id. Hashing every window of every document would shuffle far more than the text. Instead only the
 positions in a perfect difference set modulo 31 are hashed, over anchors of `window` - 30 words: two equal windows
 that start at i and j share a shift d < 31 with i+d and j+d both in the set, so they share an aligned anchor. Only
-where an anchor occurs in a second document is it extended: the windows over it are hashed in full, and the smallest
-id of each window's documents decides.
+where an anchor occurs in a second text is it extended: the windows over it are hashed in full, with 128 bits, and the
+smallest id of each window's documents decides.
 
-What a map task sees of one anchor or window in several documents it settles itself and sends one row on, so a
-passage that a third of all documents share sends a row per batch and not one per document.
+Equal texts are one text first: all but the copy with the smallest id lose every word if there is a window at all, and
+need no anchors. Texts are shuffled once, compressed, by a 128-bit hash; anchors, windows and the result read that one
+exchange. What a map task sees of one text, anchor or window in several documents it settles itself: it sends one row
+on to meet other tasks, and the settled ones as runs that are dealt out evenly. So a text or passage that a third of
+all documents share sends a row per batch and not one per document.
 
 Nulls and odd rows: a null or empty text has no words; a document without an id keeps all its words and takes none
-from others; rows with the same id are never smaller than each other and are judged one by one; other columns are
-not touched. Texts may be of any length: positions are 32-bit numbers.
+from others; rows with the same id are never smaller than each other and are judged one by one; other columns,
+whatever their names, are not touched. Ids are whole numbers (or strings of them; other strings fail the cast). Texts
+may be of any length: positions are 32-bit numbers.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from pyspark.sql import types as T
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import arrow_map, as_text, worker_held
+from .common import arrow_map, in_slices, worker_held
 
 #: A perfect difference set modulo 31; each remainder but 0 is one difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-BASE = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
+#: Odd factors of the two rolling hashes.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: What is known of a text after the first look: nothing can be removed; a smaller id has the same text; to be looked up.
+WHOLE, GONE, OPEN = 0, 1, 2
 
 
 class _Hashes(dict):
@@ -46,15 +53,16 @@ class _Hashes(dict):
         return value
 
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
+def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers.get(base, ((),))[0]) < n:
         size = max(n, 4096)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            _powers[name] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, base, np.uint64))])
-    return _powers["up"][:n], _powers["down"][:n]
+        ones = [np.uint64(1)]
+        _powers[base] = tuple(np.concatenate([ones, np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,12 +74,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(worker_held("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
     """A 64-bit hash of each run of `width` words."""
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.uint64)
-    up, down = _power(n)
+    up, down = _power(n, base)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up)])
     return _mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
 
@@ -80,233 +88,284 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def _rows(key, first, doc, tag, known) -> pa.RecordBatch:
-    columns = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (key, first, doc, tag, known)]
-    return pa.RecordBatch.from_arrays(columns, ["key", "twin", "doc", "tag", "known"])
+def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns], names)
 
 
-ROWS = "key bigint, twin bigint, doc bigint, tag bigint, known boolean"
+def _text(z: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
+
+
+def _looked_at(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """Texts (r1, r2, doc, state, n_words, z, rows), one row per id and text of a slice of a batch.
+
+    r1 and r2 are the text's hash if it is OPEN; settled texts have a hash of their own in r1, which deals them out
+    evenly, and no r2. rows: the other columns of the documents it stands for.
+    """
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"), rest.alias("row"))
+    schema = T.StructType([T.StructField(n, t) for n, t in (("r1", T.LongType()), ("r2", T.LongType()), ("doc", T.LongType()), ("state", T.IntegerType()), ("n_words", T.LongType()), ("z", T.BinaryType()), ("rows", T.ArrayType(rows.schema["row"].dataType)))])
+
+    def look(part: pa.RecordBatch) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        at: dict[tuple[bytes, int | None], list[int]] = {}
+        least: dict[bytes, int] = {}
+        texts = part.column("text").to_pylist()
+        for i, (doc, text) in enumerate(zip(part.column("doc").to_pylist(), texts, strict=True)):
+            digest = b"" if text is None else xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+            at.setdefault((digest, doc), []).append(i)
+            if doc is not None:
+                least[digest] = min(least.get(digest, doc), doc)
+        out = []
+        for (digest, doc), own in at.items():
+            text = texts[own[0]]
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            n = len(raw.split())
+            state = WHOLE if doc is None or n < window else GONE if doc > least[digest] else OPEN
+            if state == OPEN:
+                r1, r2 = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+            else:
+                r1, r2 = int(np.uint64(xxh64_intdigest(b"%b %r" % (digest, doc))).view(np.int64)), None
+            out.append((r1, r2, doc, state, n, None if text is None or state == GONE else pack(raw)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        order = pa.array([i for own in at.values() for i in own], pa.int64())
+        offsets = pa.array(np.cumsum([0, *map(len, at.values())]), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, part.column("row").take(order))
+        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, lists], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_slices(batch, "text"):
+                yield look(part)
+
+    return rows.mapInArrow(run, schema)
 
 
-def _settled(keys: np.ndarray, docs: np.ndarray, tags: np.ndarray, both: bool) -> pa.RecordBatch:
-    """One batch's occurrences (uint64 keys), of which those are `known` that the batch itself settles.
+def _anchors(texts: DataFrame, window: int) -> DataFrame:
+    """(key, r1, at, met) of the anchors of OPEN texts.
 
-    both: an anchor in two documents settles all its rows; else a window settles those that have a smaller document.
-    One row of each key goes on to meet other batches, with the smallest document and a second one if there is one.
+    met: the batch has the anchor in two texts. Then all its rows are settled and, under keys that deal them out
+    evenly, only pass by; one further row (at < 0) tells other batches.
     """
-    order = np.lexsort((docs, keys))
-    keys, docs, tags = keys[order], docs[order], tags[order]
-    new = np.r_[True, keys[1:] != keys[:-1]]
-    group = np.cumsum(new) - 1
-    first = docs[new][group]
-    last = docs[np.r_[np.flatnonzero(new)[1:] - 1, len(keys) - 1]][group]
-    shared = first != last
-    if both:
-        known = shared
-        send = new | ~shared  # a lone document's rows all go on; of shared ones a single row does
-    else:
-        known = docs != first
-        send = ~known
-    out = [_rows(keys[send], last[send], docs[send], tags[send], np.zeros(send.sum(), bool))]
-    if known.any():
-        spread = _mix(tags[known].view(np.uint64) ^ (docs[known].view(np.uint64) << np.uint64(17)))
-        out.append(_rows(spread, docs[known], docs[known], tags[known], np.ones(known.sum(), bool)))
-    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-
-
-def _crc(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
-
-
-def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """Occurrences of anchors; tag: the text's CRC-32 in the upper half, the position in the lower."""
     width = window - PERIOD + 1
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys, ids, tags = [], [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            words = _words(text := text.as_py())
-            if len(words) < window:
+        keys, of, at = [], [], []
+        for r1, doc, least, state, z in zip(*(batch.column(c) for c in ("r1", "doc", "least", "state", "z")), strict=True):
+            if state.as_py() != OPEN or doc.as_py() != least.as_py():
                 continue
-            hashes = window_hashes(word_hashes(words), width)
-            at = np.flatnonzero(np.resize(cover, len(hashes)))
-            keys.append(hashes[at])
-            ids.append(np.full(len(at), doc, np.int64))
-            tags.append((np.uint64(_crc(text)) << np.uint64(32) | at.astype(np.uint64)).view(np.int64))
-        return _settled(np.concatenate(keys), np.concatenate(ids), np.concatenate(tags), True) if keys else None
-
-    return arrow_map(docs.where("doc_id is not null"), run, ROWS)
-
-
-def _met(rows: DataFrame, both: bool) -> DataFrame:
-    """(doc, crc, at): of the occurrences dealt out by key, those whose key another document has (both), or a smaller one."""
-
-    def out(doc: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
-        tag = tag.view(np.uint64)
-        columns = [pa.array(doc), pa.array((tag >> np.uint64(32)).astype(np.int64)), pa.array((tag & np.uint64(0xFFFFFFFF)).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, ["doc", "crc", "at"])
+            hashes = window_hashes(word_hashes(_words(_text(z.as_py()))), width)
+            own = np.flatnonzero(np.resize(cover, len(hashes)))
+            keys.append(hashes[own]), at.append(own.astype(np.int32))
+            of.append(np.full(len(own), r1.as_py(), np.int64))
+        if not keys:
+            return None
+        keys, of, at = np.concatenate(keys), np.concatenate(of), np.concatenate(at)
+        order = np.lexsort((of, keys))
+        keys, of, at = keys[order], of[order], at[order]
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        group = np.cumsum(new) - 1
+        met = (of[new] != of[np.r_[np.flatnonzero(new)[1:] - 1, len(keys) - 1]])[group]
+        tell = met & new
+        spread = _mix(of.view(np.uint64) ^ (at.astype(np.uint64) << np.uint64(32)))
+        return _batch(["key", "r1", "at", "met"], np.r_[np.where(met, spread, keys), keys[tell]], np.r_[of, of[tell]], np.r_[at, np.full(tell.sum(), -1, np.int32)], np.r_[met, met[tell]])
+
+    return arrow_map(texts, run, "key bigint, r1 bigint, at int, met boolean")
+
+
+def _shared(anchors: DataFrame) -> DataFrame:
+    """(r1, at) of the anchors that two texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, shared = None, None, False  # of the group that the last batch ended in
-        docs: list[np.ndarray] = []  # its rows so far, while they are all of one document
-        tags: list[np.ndarray] = []
+        of: list[np.ndarray] = []  # its rows so far, while they are all of one text
+        at: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, twin, doc, tag = (batch.column(x).to_numpy() for x in ("key", "twin", "doc", "tag"))
-            known = batch.column("known").to_numpy(zero_copy_only=False)
-            if known.any():
-                yield out(doc[known], tag[known])
-                k, twin, doc, tag = (x[~known] for x in (k, twin, doc, tag))
+            k, r, a = (batch.column(x).to_numpy() for x in ("key", "r1", "at"))
+            m = batch.column("met").to_numpy(zero_copy_only=False)
+            passing = m & (a >= 0)
+            if passing.any():
+                yield _batch(["r1", "at"], r[passing], a[passing])
+                k, r, a, m = (x[~passing] for x in (k, r, a, m))
                 if not len(k):
                     continue
             new = np.r_[k[0] != key, k[1:] != k[:-1]]
             starts = np.flatnonzero(new)
             group = np.cumsum(new)
-            firsts = np.r_[first if first is not None else 0, doc[starts]]
+            firsts = np.r_[first if first is not None else 0, r[starts]]
             is_shared = np.zeros(len(starts) + 1, bool)
             is_shared[0] = shared
-            np.logical_or.at(is_shared, group, (doc != firsts[group]) | (twin != firsts[group]))
-            if docs and is_shared[0] and not shared:
-                yield out(np.concatenate(docs), np.concatenate(tags))
+            np.logical_or.at(is_shared, group, m | (r != firsts[group]))
+            if of and is_shared[0] and not shared:
+                yield _batch(["r1", "at"], np.concatenate(of), np.concatenate(at))
             if is_shared[0] or len(starts):
-                docs, tags = [], []
-            take = is_shared[group] if both else doc != firsts[group]
+                of, at = [], []
+            take = is_shared[group] & (a >= 0)
             if take.any():
-                yield out(doc[take], tag[take])
-            tail = group == len(starts)
-            if both and not is_shared[-1]:
-                docs.append(doc[tail]), tags.append(tag[tail])
+                yield _batch(["r1", "at"], r[take], a[take])
+            if not is_shared[-1]:
+                tail = group == len(starts)
+                of.append(r[tail]), at.append(a[tail])
             key, first, shared = k[-1], firsts[-1], is_shared[-1]
 
-    dealt = rows.repartition("key").sortWithinPartitions("key", "doc")
-    return dealt.mapInArrow(run, "doc bigint, crc bigint, at int")
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """(doc, crc, z): texts compressed for the shuffle."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t.as_py() for t in batch.column("text")]
-        pack = zstandard.ZstdCompressor(level=1).compress
-        z = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_crc(t) for t in texts], pa.int64()), z], ["doc", "crc", "z"])
-
-    return arrow_map(docs, run, "doc bigint, crc bigint, z binary")
-
-
-def _text(z: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
+    return anchors.repartition("key").sortWithinPartitions("key").mapInArrow(run, "r1 bigint, at int")
 
 
-def _gathered(hits: DataFrame) -> DataFrame:
-    """A row per document text: its positions. An anchor or window counts once a position, so a document's length bounds the list."""
-    return hits.groupBy("doc", "crc").agg(F.collect_list("at").alias("at"))
+def _runs(of: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts (r1, doc, at, n) as runs of n consecutive ones."""
+    order = np.lexsort((at, doc, of))
+    of, doc, at = of[order], doc[order], at[order]
+    new = np.r_[True, (of[1:] != of[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]
+    return of[new], doc[new], at[new], np.diff(np.r_[np.flatnonzero(new), len(of)]).astype(np.int32)
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """All windows over the anchors at `at`, as occurrences."""
+    """(k1, k2, doc, r1, at, n) of all windows over the anchors at `at`; n is 0, or the length of a run that the batch has settled."""
+    names = ["k1", "k2", "doc", "r1", "at", "n"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys, ids, tags = [], [], []
-        for doc, crc, z, at in zip(*(batch.column(x) for x in ("doc", "crc", "z", "at")), strict=True):
-            hashes = window_hashes(word_hashes(_words(_text(z.as_py()))), window)
-            ends = np.asarray(at.values.to_numpy(), np.int64)
-            near = np.zeros(len(hashes) + PERIOD + 1, np.int32)
-            np.add.at(near, np.maximum(ends - PERIOD + 1, 0), 1)
-            np.add.at(near, np.minimum(ends + 1, len(hashes)), -1)
-            pick = np.flatnonzero(np.cumsum(near[: len(hashes)]) > 0)
-            if not len(pick):
+        k1, k2, docs, of, starts = [], [], [], [], []
+        for r1, doc, least, state, z, at in zip(*(batch.column(x) for x in ("r1", "doc", "least", "state", "z", "at")), strict=True):
+            if state.as_py() != OPEN or doc.as_py() != least.as_py():
+                continue
+            hashes = word_hashes(_words(_text(z.as_py())))
+            ends, n = np.asarray(at.values.to_numpy(), np.int64), max(0, len(hashes) - window + 1)
+            near = np.zeros(n + 1, np.int32)
+            np.add.at(near, np.clip(ends - PERIOD + 1, 0, n), 1)
+            np.add.at(near, np.clip(ends + 1, 0, n), -1)
+            pick = np.flatnonzero(np.cumsum(near[:n]) > 0)
+            k1.append(window_hashes(hashes, window)[pick]), k2.append(window_hashes(hashes, window, BASES[1])[pick])
+            docs.append(np.full(len(pick), doc.as_py(), np.int64)), of.append(np.full(len(pick), r1.as_py(), np.int64))
+            starts.append(pick.astype(np.int32))
+        if not sum(map(len, k1)):
+            return None
+        k1, k2, docs, of, starts = map(np.concatenate, (k1, k2, docs, of, starts))
+        order = np.lexsort((docs, k2, k1))
+        k1, k2, docs, of, starts = (x[order] for x in (k1, k2, docs, of, starts))
+        new = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
+        gone = docs != docs[new][np.cumsum(new) - 1]
+        out = _batch(names, *(x[~gone] for x in (k1, k2, docs, of, starts)), np.zeros((~gone).sum(), np.int32))
+        if not gone.any():
+            return out
+        r1, doc, at, n = _runs(of[gone], docs[gone], starts[gone])
+        spread = _mix(r1.view(np.uint64) ^ (at.astype(np.uint64) << np.uint64(32)))
+        both = pa.Table.from_batches([out, _batch(names, spread, spread, doc, r1, at, n)])
+        return both.combine_chunks().to_batches()[0]
+
+    return arrow_map(texts, run, "k1 bigint, k2 bigint, doc bigint, r1 bigint, at int, n int")
+
+
+def _taken(windows: DataFrame) -> DataFrame:
+    """(r1, doc, at, n): runs of windows that a smaller document has."""
+    names = ["r1", "doc", "at", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, None  # of the group that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys.append(hashes[pick])
-            ids.append(np.full(len(pick), doc.as_py(), np.int64))
-            tags.append((np.uint64(crc.as_py()) << np.uint64(32) | pick.astype(np.uint64)).view(np.int64))
-        return _settled(np.concatenate(keys), np.concatenate(ids), np.concatenate(tags), False) if keys else None
+            k1, k2, doc, r1, at, n = (batch.column(x).to_numpy() for x in ("k1", "k2", "doc", "r1", "at", "n"))
+            if (settled := n > 0).any():
+                yield _batch(names, *(x[settled] for x in (r1, doc, at, n)))
+                k1, k2, doc, r1, at = (x[~settled] for x in (k1, k2, doc, r1, at))
+                if not len(k1):
+                    continue
+            new = np.r_[(k1[0], k2[0]) != key, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
+            firsts = np.r_[first if first is not None else 0, doc[new]]
+            take = doc != firsts[np.cumsum(new)]
+            if take.any():
+                yield _batch(names, *_runs(r1[take], doc[take], at[take]))
+            key, first = (k1[-1], k2[-1]), firsts[-1]
 
-    return arrow_map(texts, run, ROWS)
+    return windows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc").mapInArrow(run, "r1 bigint, doc bigint, at int, n int")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(doc, crc, at list of starts of repeated windows), and the compressed texts (doc, crc, z) they belong to."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """Texts as _looked_at() has them, with `least`, the smallest id that has the text, and `runs`, a list of (doc, at, n):
+    starts of repeated windows of the text if it is OPEN and its id the least one; null if there are none.
+
+    A document's length bounds its lists. Consumers take all columns, so that all of them read one exchange.
+    """
     if window < PERIOD + 1:
         raise ValueError(f"a window needs over {PERIOD} words")
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_text(text_col).alias("text"))
-    texts = _packed(docs)
-    found = _gathered(_met(_anchors(docs, window), True))
-    again = _met(_windows(texts.join(found, ["doc", "crc"]), window), False)
-    return _gathered(again), texts
+    same = Window.partitionBy("r1", "r2")
+    texts = _looked_at(docs, id_col, text_col, window).repartition("r1").withColumn("least", F.min("doc").over(same))
+    found = _shared(_anchors(texts, window)).groupBy("r1").agg(F.collect_list("at").alias("at"))
+    again = _taken(_windows(texts.join(found, "r1"), window))
+    runs = again.groupBy("r1").agg(F.collect_list(F.struct("doc", "at", "n")).alias("runs"))
+    return texts.join(runs, "r1", "left")
 
 
-def _covered(n: int, at: pa.Array | None, window: int) -> np.ndarray:
-    if at is None or not len(at):
-        return np.zeros(n, bool)
-    at = np.asarray(at.to_numpy(zero_copy_only=False), np.int64)
+def _covered(n: int, doc: int | None, runs: pa.Scalar, window: int) -> np.ndarray:
+    """Which of n words the runs of a document cover."""
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, np.minimum(at + window, n), -1)
+    if runs.is_valid:
+        own, at, k = (runs.values.field(c).to_numpy() for c in ("doc", "at", "n"))
+        at, k = at[own == doc].astype(np.int64), k[own == doc]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, np.minimum(at + k - 1 + window, n), -1)
     return np.cumsum(edge[:n]) > 0
 
 
+def _judged(batch: pa.RecordBatch, window: int) -> Iterator[tuple[str | None, int, np.ndarray | None]]:
+    """(text, n_words, which words go) of each row; None for the words: all of them do."""
+    for doc, least, state, n, z, runs in zip(*(batch.column(c) for c in ("doc", "least", "state", "n_words", "z", "runs")), strict=True):
+        doc, n = doc.as_py(), n.as_py()
+        if state.as_py() == GONE or state.as_py() == OPEN and doc > least.as_py():
+            yield "", n, None
+        else:
+            text = _text(z.as_py()) if z.is_valid else None
+            yield text, n, _covered(n, doc, runs, window) if state.as_py() == OPEN else np.zeros(n, bool)
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): one row per document."""
-    found, texts = repeats(docs, id_col, text_col, window)
+    found = repeats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", window)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_removed, digests = [], [], []
-        for z, at in zip(batch.column("z"), batch.column("at"), strict=True):
-            words = _words(_text(z.as_py()))
-            gone = _covered(len(words), at.values, window)
-            if gone.any():
+        for text, n, gone in _judged(batch, window):
+            words = [] if gone is None else _words(text or "")
+            if gone is not None and gone.any():
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            n_words.append(len(gone)), n_removed.append(len(gone) - len(words))
+            n_words.append(n), n_removed.append(n - len(words))
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    joined = _with_lists(texts, found)
-    return arrow_map(joined, run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+        rows = batch.column("rows")
+        of = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
+        columns = [pa.array(x, k).take(pa.array(of)) for x, k in ((n_words, pa.int64()), (n_removed, pa.int64()), (digests, pa.string()))]
+        return pa.RecordBatch.from_arrays([rows.flatten().field("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
+    return arrow_map(found, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string")
 
-def _with_lists(texts: DataFrame, found: DataFrame) -> DataFrame:
-    found = found.withColumnsRenamed({"doc": "f_doc", "crc": "f_crc"})
-    joined = texts.join(found, (F.col("doc") == F.col("f_doc")) & (F.col("crc") == F.col("f_crc")), "left")
-    return joined.select("doc", "crc", "z", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
 
-
-def cut_text(text: str, starts: pa.Array | None, window: int = 50) -> str:
-    """The text without the words that repeated windows cover; what stands between kept words stays as it is."""
-    import re
-
-    spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0d]+", text)]
-    gone = _covered(len(spans), starts, window)
+def cut_text(text: str, gone: np.ndarray) -> str:
+    """The text without the words that go; what stands between kept words stays as it is."""
     if not gone.any():
         return text
     out, at = [], 0
-    for (begin, end), g in zip(spans, gone.tolist(), strict=True):
+    for m, g in zip(re.finditer(r"[^\x20\x09-\x0d]+", text), gone.tolist(), strict=True):
         if not g:
-            out.append(text[at:end])
-        at = end
-    out.append(text[at:] if not gone[-1] else "")
+            out.append(text[at : m.end()])
+        at = m.end()
+    out.append("" if gone[-1] else text[at:])
     return "".join(out)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """docs with the repeated words cut from the text column; all other columns as they were."""
-    found, _ = repeats(docs, id_col, text_col, window)
-    crc = F.crc32(F.encode(as_text(text_col), "utf-8"))
-    found = found.select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("at").alias("__at"))
-    joined = docs.join(found, (F.col(id_col).cast("bigint") == F.col("__doc")) & (crc == F.col("__crc")), "left").drop("__doc", "__crc")
-    name = text_col
+    found, names = repeats(docs, id_col, text_col, window), docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                t.as_py() if not a.is_valid else cut_text(t.as_py() or "", a.values, window)
-                for t, a in zip(batch.column(name), batch.column("__at"), strict=True)
-            ]
-            k = batch.schema.get_field_index(name)
-            batch = batch.set_column(k, pa.field(name, pa.string()), pa.array(texts, pa.string()))
-            yield batch.drop_columns(["__at"])
-
-    return joined.mapInArrow(run, docs.schema)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = ["" if gone is None else text and cut_text(text, gone) for text, _, gone in _judged(batch, window)]
+        rows = batch.column("rows")
+        of = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
+        other = rows.flatten()
+        columns = [pa.array(texts, pa.string()).take(pa.array(of)) if c == text_col else other.field(c) for c in names]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return arrow_map(found, run, docs.schema)
