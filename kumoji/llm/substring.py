@@ -104,7 +104,8 @@ def _looked_at(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
     """
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"), rest.alias("row"))
-    schema = T.StructType([T.StructField(n, t) for n, t in (("r1", T.LongType()), ("r2", T.LongType()), ("doc", T.LongType()), ("state", T.IntegerType()), ("n_words", T.LongType()), ("z", T.BinaryType()), ("rows", T.ArrayType(rows.schema["row"].dataType)))])
+    # r1 is not nullable: else an inner join adds a filter below the exchange, which then is not the one of the other consumers.
+    schema = T.StructType([T.StructField(n, t, n != "r1") for n, t in (("r1", T.LongType()), ("r2", T.LongType()), ("doc", T.LongType()), ("state", T.IntegerType()), ("n_words", T.LongType()), ("z", T.BinaryType()), ("rows", T.ArrayType(rows.schema["row"].dataType)))])
 
     def look(part: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=3).compress
