@@ -6,11 +6,11 @@ exact copies cost one row. It is dealt out by the trie's upper part: with the 64
 fingerprints that differ in at most three bits agree on two whole blocks, so each of the ten block pairs is one
 ordering of the bits whose trie starts with those two blocks, and the nodes at that depth are the tasks' groups.
 Inside a group the trie is walked by pairs of nodes (see trie.py). A group beyond `max_group` fingerprints is dealt
-out once more by the pairs of nodes of its six most even bits.
+out in pairs of PARTS parts, and again until all groups fit. For near-dedup at a given similarity see widehash.py.
 
 Nulls and odd rows: a null or empty text has fingerprint zero and is linked like any other; a null doc_id gets the
 component of its fingerprint but never names one; repeated rows come out as often as they went in; other columns,
-whatever their names, are neither read nor returned by components() and kept by near_dedup().
+whatever their names, are neither read nor returned. Ids are whole numbers or strings of them.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .trie import classes
 
 SEED = 42
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+PARTS = 8
 #: Hashes whose bits are counted at once.
 SLICE = 1 << 15
 
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(rows, run, "doc_id bigint, fp bigint")
 
 
-def _joined(rows: DataFrame, budget: int, max_group: int, last: bool) -> DataFrame:
+def _joined(rows: DataFrame, budget: int, max_group: int) -> DataFrame:
     """rows (g binary, fp): links (u < v, g null) that span each group's classes, and the rows of groups too large."""
 
     def solve(fps: np.ndarray, groups: np.ndarray) -> pa.RecordBatch | None:
@@ -114,7 +115,7 @@ def _joined(rows: DataFrame, budget: int, max_group: int, last: bool) -> DataFra
                     name = names[codes[a]]
                 group.append(fps[a:b])
                 size += b - a
-                if size > max_group and not last:  # passed on as it comes, never held whole
+                if size > max_group:  # passed on as it comes, never held whole
                     hot = True
                     fp = np.concatenate(group)
                     yield out(fp.view(np.int64), np.zeros(len(fp), np.int64), [name] * len(fp))
@@ -127,20 +128,15 @@ def _joined(rows: DataFrame, budget: int, max_group: int, last: bool) -> DataFra
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u bigint, v bigint, g binary")
 
 
-def _resplit(rows: DataFrame, bits: int, budget: int) -> DataFrame:
-    """Rows (g, fp) of large groups, dealt out by pairs of nodes: those that agree but for `budget` of the group's most even bits."""
-    n = F.count(F.lit(1))
-    ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))) for i in range(64)]
-    even = F.array_sort(F.array(*(F.struct(F.abs(2 * s - n).alias("d"), F.lit(i).alias("b")) for i, s in enumerate(ones))))
-    chosen = rows.groupBy("g").agg(F.transform(F.slice(even, 1, bits), lambda x: x["b"]).alias("bits"))
-    masks = [m for m in range(1 << bits) if m.bit_count() <= budget]
-    node = F.expr("aggregate(bits, 0, (a, b) -> a * 2 + cast(shiftrightunsigned(fp, b) & 1 as int))")
-    pairs = rows.join(chosen, "g").withColumn("node", node).withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
-    low = F.least("node", F.col("node").bitwiseXOR(F.col("mask")))
-    return pairs.select(F.unhex(F.md5(F.concat(F.col("g"), F.encode(F.concat_ws(",", low, "mask"), "utf-8")))).alias("g"), "fp")
+def _resplit(rows: DataFrame, round_: int) -> DataFrame:
+    """Rows (g, fp) of large groups, dealt out in pairs of PARTS parts: each two rows of a group meet in one of them."""
+    block = F.pmod(F.xxhash64("fp", F.lit(round_)), F.lit(PARTS))
+    pairs = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    name = F.concat_ws(",", F.hex("g"), F.least("block", "other"), F.greatest("block", "other"), F.lit(round_))
+    return pairs.select(F.unhex(F.md5(F.encode(name, "utf-8"))).alias("g"), "fp")
 
 
-def links(distinct: DataFrame, budget: int = 3, max_group: int = 1 << 17, rounds: int = 2) -> DataFrame:
+def links(distinct: DataFrame, budget: int = 3, max_group: int = 1 << 17, scratch: Scratch | None = None) -> DataFrame:
     """(u, v): pairs of fingerprints within `budget` bits (at most 3) that connect all that are so linked. distinct has fp, without repeats."""
     if not 0 < budget <= 3:
         raise ValueError("the five blocks guarantee at most three differing bits")
@@ -150,14 +146,14 @@ def links(distinct: DataFrame, budget: int = 3, max_group: int = 1 << 17, rounds
         mask = sum(((1 << width) - 1) << at for at, width in pair)
         keys.append(F.concat(F.lit(bytes([k])), F.unhex(F.lpad(F.hex(F.col("fp").bitwiseAND(F.lit(_signed(mask)))), 16, "0"))))
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("g"))
-    scratch, found = Scratch(spark, "simhash"), []
-    for k in range(rounds):
-        done = scratch.keep(_joined(rows, budget, max_group, last=k == rounds - 1))
+    scratch, found, round_ = scratch or Scratch(spark, "simhash"), [], 0
+    while True:
+        done = scratch.keep(_joined(rows, budget, max_group))
         found.append(done.where(F.col("g").isNull()).select("u", "v"))
         hot = done.where(F.col("g").isNotNull()).select("g", F.col("u").alias("fp"))
         if not hot.take(1):
             break
-        rows = _resplit(hot, 6, budget)
+        rows, round_ = _resplit(hot, round_), round_ + 1
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
@@ -199,22 +195,11 @@ def connected(edges: DataFrame, spark: SparkSession, max_rounds: int = 60) -> Da
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, max_group: int = 1 << 17) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     spark = docs.sparkSession
-    own = Scratch(spark, "fingerprints").keep(fingerprints(docs, id_col, text_col, width))
+    scratch = Scratch(spark, "simhash")
+    own = scratch.keep(fingerprints(docs, id_col, text_col, width))
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = connected(links(distinct.select("fp"), budget, max_group), spark)
+    roots = connected(links(distinct.select("fp"), budget, max_group, scratch), spark)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near copies: of each component the document with the smallest id stays, once.
-
-    A row without an id goes if it is linked to one that has an id; else it stays, once for each text.
-    """
-    found = components(docs, id_col, text_col)
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("bigint").eqNullSafe(F.col("__keep")), "left_semi")
-    ids = kept.select(id_col)
-    return kept.dropDuplicates([id_col, text_col]) if ids.groupBy(id_col).count().where("count > 1").take(1) else kept

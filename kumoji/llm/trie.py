@@ -1,4 +1,4 @@
-"""Binary-trie self-join of 64-bit fingerprints in numpy.
+"""Binary-trie self-join of fingerprints in numpy.
 
 A sorted array of distinct fingerprints is an implicit binary trie: a node is a range that shares its upper bits.
 Node pairs are walked down together, one bit a level; a pair collects the bits in which its two sides differ and
@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Node pairs held at once; wider fronts are cut in two and walked one after the other.
-FRONT = 1 << 20
+FRONT = 1 << 18
 
 
 def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,12 +32,15 @@ def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def classes(fps: np.ndarray, groups: np.ndarray, budget: int) -> np.ndarray:
+def classes(fps: np.ndarray, groups: np.ndarray, budget: int, passes: tuple[int, ...] = ()) -> np.ndarray:
     """For each fingerprint the smallest index it is linked to, by chains of pairs in one group with at most `budget` differing bits.
 
-    fps is uint64; (group, fp) must be sorted and distinct.
+    fps is uint64, with a row of words (most significant first) for each fingerprint if it has more than 64 bits;
+    (group, fp) must be sorted and distinct. Small budgets go first, as what they link need not be walked again:
+    those of `passes`, by default all.
     """
-    n = len(fps)
+    fps = fps.reshape(len(fps), -1)
+    n, last = fps.shape[0], 64 * fps.shape[1] - 1
     labels = np.arange(n)
     if n < 2:
         return labels
@@ -45,15 +48,14 @@ def classes(fps: np.ndarray, groups: np.ndarray, budget: int) -> np.ndarray:
     ends = np.r_[starts[1:], n]
     wide = ends - starts > 1
     starts, ends = starts[wide], ends[wide]
-    ones = [None] * 64
 
-    def bit(level: int) -> np.ndarray:
-        if ones[level] is None:
-            ones[level] = np.concatenate([[0], np.cumsum((fps >> np.uint64(level)) & np.uint64(1))]).astype(np.int64)
-        return ones[level]
+    def ones(level: int) -> np.ndarray:
+        """How many of the first k fingerprints have the bit, for each k."""
+        word = fps[:, -1 - level // 64]
+        return np.concatenate([[0], np.cumsum((word >> np.uint64(level % 64)) & np.uint64(1), dtype=np.int64)])
 
-    for most in range(1, budget + 1):  # small budgets first: what they link need not be walked again
-        stack = [(63, starts, ends, starts, ends, np.zeros(len(starts), np.int8))]
+    for most in passes or range(1, budget + 1):
+        stack = [(last, starts, ends, starts, ends, np.zeros(len(starts), np.int16))]
         while stack:
             level, al, ah, bl, bh, err = stack.pop()
             changes = np.cumsum(np.r_[False, labels[1:] != labels[:-1]])
@@ -63,7 +65,7 @@ def classes(fps: np.ndarray, groups: np.ndarray, budget: int) -> np.ndarray:
             single = (ah - al == 1) & (bh - bl == 1)
             if single.any():
                 i, j = al[single], bl[single]
-                near = np.bitwise_count(fps[i] ^ fps[j]) <= most
+                near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int16) <= most
                 labels = merged(labels, i[near], j[near])
                 al, ah, bl, bh, err = (x[~single] for x in (al, ah, bl, bh, err))
             if not len(al) or level < 0:
@@ -72,7 +74,7 @@ def classes(fps: np.ndarray, groups: np.ndarray, budget: int) -> np.ndarray:
                 half = len(al) // 2
                 stack += [(level, *(x[k] for x in (al, ah, bl, bh, err))) for k in (slice(0, half), slice(half, None))]
                 continue
-            count = bit(level)
+            count = ones(level)
             am, bm = ah - (count[ah] - count[al]), bh - (count[bh] - count[bl])
             fresh = al != bl
             parts = [

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from kumoji.llm import cotrain, nearcopies, simhash, toxicity
+from kumoji.llm import cotrain, simhash, toxicity, widehash
 
 from test_llm import ODD, docs_of, labelled, prose
 
@@ -18,48 +19,63 @@ def edited(text, rng, times):
 
 
 def brute_near(rows, similarity=0.8):
-    sets = [set(nearcopies.shingles(t or "", 5).tolist()) for _, t in rows]
-    label = list(range(len(rows)))
-    changed = True
+    """(row, what stays of its group), by all pairs of fingerprints."""
+    fps = [int.from_bytes(widehash.fingerprint(widehash.shingles(t or "", 5)), "big") for _, t in rows]
+    budget, label, changed = widehash.budget_for(similarity), list(range(len(rows))), True
     while changed:
         changed = False
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if label[j] < label[i] and (a == b or len(a & b) >= similarity * len(a | b)):
+        for i, a in enumerate(fps):
+            for j, b in enumerate(fps):
+                if label[j] < label[i] and (a ^ b).bit_count() <= budget:
                     label[i], changed = label[j], True
-    ids = {}
-    for (d, _), k in zip(rows, label, strict=True):
-        if d is not None:
-            ids[k] = min(d, ids.get(k, d))
-    return sorted(((d, ids.get(k)) for (d, _), k in zip(rows, label, strict=True)), key=repr)
+    best = {}
+    for row, k in zip(rows, label, strict=True):
+        rank = (row[0] is None, row[0] or 0, signed(xxh64_intdigest((row[1] or "").encode(), 42)))
+        if k not in best or rank < best[k][0]:
+            best[k] = (rank, (row[0], row[1]))
+    return sorted(((row[0], best[k][1]) for row, k in zip(rows, label, strict=True)), key=repr)
 
 
-def test_near_copies_with_edited_words(spark, monkeypatch):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def jaccard(a, b):
+    a, b = (set(widehash.shingles(t, 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_with_edited_words(spark):
     rng = random.Random(8)
     base = [prose(k, 150, 4000) for k in range(5)]
     rows = list(enumerate(base)) + [(100 + i, edited(base[i % 5], rng, 1 + i // 5 % 9)) for i in range(90)]
-    pairs = [(base[i % 5], t) for i, (_, t) in enumerate(rows[5:])]
-    similar = [(simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() for a, b in pairs if brute_near([(0, a), (1, b)])[1][1] == 0]
-    assert sum(bits > 3 for bits in similar) > 5  # op1's three bits miss these
-    rows += ODD
+    found = {(i, of) for i, of in brute_near(rows)}
+    near = [i for i, t in rows[5:] if jaccard(t, base[i % 5]) >= 0.8]
+    assert len(near) > 30 and sum((i, (i % 5, base[i % 5])) in found for i in near) >= 0.95 * len(near)
+    bits = [(simhash.fingerprint(t) ^ simhash.fingerprint(base[i % 5])).bit_count() for i, t in rows[5:] if i in near]
+    assert sum(b > 3 for b in bits) > 5  # op1's three bits miss these
+    rows += ODD + [(0, "another text of the id 0"), (None, base[0]), (None, prose(77, 40)), (None, prose(77, 40))]
     want = brute_near(rows)
-    for few in (nearcopies.FEW, 0):  # 0: all rounds against one node of a bucket first
-        monkeypatch.setattr(nearcopies, "FEW", few)
-        got = sorted(((r.doc_id, r.component_id) for r in nearcopies.components(docs_of(spark, rows)).collect()), key=repr)
-        assert got == want
-    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(spark, rows), "").collect()}
-    assert kept == {c for _, c in want}
+    for most in (1 << 16, 12):  # tries of over twelve nodes are dealt out in blocks
+        got = widehash.components(docs_of(spark, rows), max_group=most).collect()
+        assert sorted(((r.doc_id, r.least.doc_id, r.least.version) for r in got), key=repr) == sorted(((i, d, signed(xxh64_intdigest((t or "").encode(), 42))) for i, (d, t) in want), key=repr)
+    docs = docs_of(spark, rows).withColumnsRenamed({"lang": "gone_id", "source": "fp", "n_chars": "version"})
+    kept = sorted(((r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=repr)
+    assert kept == sorted({(d, t or "") for _, (d, t) in want}, key=repr)
     assert corpus_pipeline.near_dedup(spark, docs_of(spark, []), "").count() == 0
 
 
-def test_near_copy_candidates_at_the_limit():
+def test_near_copies_at_the_limit():
     rng = np.random.default_rng(4)
-    bands, missed = nearcopies.bands_for(0.8), 0
-    for _ in range(1500):
-        x = rng.integers(0, 1 << 64, 110, dtype=np.uint64)
-        a, b = np.sort(x[:99]), np.sort(x[11:])  # 88 of 110
-        missed += not set(enumerate(nearcopies.buckets(a, bands))) & set(enumerate(nearcopies.buckets(b, bands)))
-    assert missed == 0
+    trees, budget, met, linked, far = widehash.trees_for(0.8), widehash.budget_for(0.8), 0, 0, 0
+    for _ in range(600):
+        x = rng.integers(0, 1 << 64, 440, dtype=np.uint64)
+        a, b = np.sort(x[:396]), np.sort(x[44:])  # 352 of 440
+        met += bool(set(enumerate(widehash.keys(a, trees))) & set(enumerate(widehash.keys(b, trees))))
+        bits = [int.from_bytes(widehash.fingerprint(s), "big") for s in (a, b, np.sort(x[110:]))]  # the third: 286 of 440
+        linked += (bits[0] ^ bits[1]).bit_count() <= budget
+        far += (bits[0] ^ bits[2]).bit_count() <= budget
+    assert met == 600 and linked > 0.92 * 600 and far < 0.1 * 600
 
 
 def test_toxic_words_beyond_the_first_characters_of_a_text_without_blanks(spark):
