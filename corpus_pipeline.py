@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kumoji.llm import bpe, decontaminate, nearcopies, substring, toxicity
+from kumoji.llm import bpe, decontaminate, substring, toxicity, widehash
 from kumoji.llm.common import Scratch, table, tokenizer_path
 
 
@@ -14,8 +14,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies share 0.8 or more of their five-word shingles; op1's digest (three words, three bits) is a contract of op1 only."""
-    return nearcopies.near_dedup(docs, width=5, similarity=0.8)
+    """Five words and a similarity of 0.8 by wide fingerprints; op1's digest (three words, three of 64 bits) is a contract of op1 only."""
+    return widehash.near_dedup(docs, width=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
