@@ -119,7 +119,18 @@ def expression(source: str) -> ast.expr:
 
 # ---- Compilation -----------------------------------------------------------------------------------------------------
 
-BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv}
+#: Characters or items that a repetition may make at most.
+LONGEST = 1 << 20
+
+
+def _times(a, b):
+    for many, n in ((a, b), (b, a)):
+        if isinstance(many, (str, list)) and isinstance(n, int) and len(many) * n > LONGEST:
+            raise TemplateError(f"a repetition of over {LONGEST}")
+    return a * b
+
+
+BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: _times, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv}
 COMPARE = {
     ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge,
     ast.In: lambda a, b: a in b, ast.NotIn: lambda a, b: a not in b,
@@ -191,7 +202,10 @@ class Compiler:
     def folded(constant: bool, closure: Callable[[dict], object]) -> tuple[bool, Callable[[dict], object]]:
         if not constant:
             return False, closure
-        v = closure({})
+        try:
+            v = closure({})
+        except (ArithmeticError, TypeError, ValueError, LookupError):  # left as it is: it may be in a branch that never runs
+            return False, closure
         return True, lambda env: v
 
     def fold(self, nodes: list) -> list:
@@ -380,9 +394,13 @@ def _streamed(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text
 def formatted(rows: DataFrame, template: str = TURNS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, formatted, loss_spans): the rendered conversation, and the generation marks as (start, end) in characters."""
 
+    state: dict[str, Callable] = {}
+
     def one(messages: Iterable[dict]) -> tuple:
+        if not state:
+            state["render"] = compiled(template, {"escape": escape})
         parts, spans, at = [], [], 0
-        for text, marked in compiled(template, {"escape": escape})({"messages": messages}):
+        for text, marked in state["render"]({"messages": messages}):
             if marked and text:
                 if spans and spans[-1]["end"] == at:
                     spans[-1]["end"] = at + len(text)

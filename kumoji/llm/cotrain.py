@@ -1,31 +1,34 @@
 """A quality classifier by co-training of two views.
 
 One view sees only the text (shares of characters and of word shapes, repetition, lengths), the other only the page's
-metadata (source, language, recorded length). Both are logistic regressions in numpy. In each round each view labels
-the unlabelled documents it is surest of and hands them to the other view. Afterwards each view's logit is calibrated
-on labelled documents that neither was trained on, and a third logistic regression combines the two calibrated views.
+metadata (source, language, recorded length). Both are logistic regressions in numpy. In each round each view scores
+all unlabelled documents, labels the `take` it is surest of and hands them to the other view. Afterwards each view's
+logit is calibrated on a quarter of the labelled sample that neither was trained on (on all of it where that quarter
+lacks a class), and a third logistic regression combines the two calibrated views.
 
-Training takes at most `per_class` labelled documents of each class and `pool` unlabelled ones, chosen by a hash of
-the id; scoring covers every document in one pass without a shuffle. A model is a few thousand numbers.
+Training takes at most `per_class` labelled documents of each class, chosen by a hash of the id. The unlabelled ones'
+features are made once, into a table in the shared folder; in a round each task sends on the few it is surest of, and
+the driver gets `take` a view. Scoring covers every document in one pass without a shuffle. A model is a few hundred
+numbers.
 
 Nulls and odd rows: null and empty texts, sources and languages are values of their own; a null length is the text's;
 labels that are null or of unknown documents are not used; a document with several labels counts as good if one says
 so; without labels of both classes every score is their share (0.5 without labels); repeated rows come out as often as
-they went in; other columns are not read.
+they went in (as unlabelled ones they are handed over once); other columns are not read. Ids of labels are whole numbers.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_text, in_slices
+from .common import Scratch, as_text, in_slices
 from .toxicity import held_out
 
 SHAPES, SOURCES, PAIRS, KEPT = 256, 64, 128, 250_000
@@ -114,28 +117,31 @@ class Model:
         return [*map(_prob, z), _prob(np.stack(z, 1) @ self.mix[:-1] + self.mix[-1])]
 
 
-def cotrained(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = 5, take: int = 100, sure: float = 0.95) -> Model:
-    """views: features of the labelled rows, one matrix a view; pools: of the unlabelled ones."""
+#: (view that is sure, label): what a round hands over.
+HANDED = ((0, 1), (0, 0), (1, 1), (1, 0))
+
+
+def cotrained(views: list[np.ndarray], y: np.ndarray, surest: Callable[[list[np.ndarray], list[int], set[int]], dict[tuple[int, int], tuple[list[int], list[np.ndarray]]]], rounds: int = 5, take: int = 100) -> Model:
+    """views: features of the labelled rows, one matrix a view. surest(models, numbers, taken): for each of HANDED the ids
+    and both views' features of so many unlabelled documents that the view is surest of, none of those taken."""
     held = np.arange(len(y)) % 4 == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
     ys = [y[~held], y[~held]]
     xs = [v[~held] for v in views]
-    free = np.ones(len(pools[0]), bool)
+    taken: set[int] = set()
     models = [logistic(x, t) for x, t in zip(xs, ys, strict=True)]
     for _ in range(rounds):
-        moved = np.zeros(len(free), bool)
-        for a, b in ((0, 1), (1, 0)):
-            p = _prob(_logit(pools[a], models[a]))
-            share = ys[a].mean()
-            for label, certain, part in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                order = np.argsort(-certain, kind="stable")
-                order = order[free[order] & (certain[order] >= sure)][: max(1, round(take * part))]
-                xs[b], ys[b] = np.concatenate([xs[b], pools[b][order]]), np.concatenate([ys[b], np.full(len(order), label)])
-                moved[order] = True
-        if not moved.any():
+        shares = [float(t.mean()) for t in ys]
+        numbers = [max(1, round(take * (shares[a] if label else 1 - shares[a]))) for a, label in HANDED]
+        handed = surest(models, numbers, taken)
+        if not any(ids for ids, _ in handed.values()):
             break
-        free &= ~moved
+        for (a, label), (ids, features) in handed.items():
+            if ids:
+                b = 1 - a
+                xs[b], ys[b] = np.concatenate([xs[b], features[b]]), np.concatenate([ys[b], np.full(len(ids), float(label))])
+                taken.update(ids)
         models = [logistic(x, t) for x, t in zip(xs, ys, strict=True)]
     own = held if held.any() else ~held
     z = [_logit(v[own], w) for v, w in zip(views, models, strict=True)]
@@ -161,11 +167,55 @@ def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([text_view(t.as_py()) for t in part.column("text")]), np.stack([page_view(*p) for p in pages])
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _surest(pool: DataFrame, models: list[np.ndarray], numbers: list[int], taken: set[int], sure: float, scratch: Scratch) -> dict[tuple[int, int], tuple[list[int], list[np.ndarray]]]:
+    """Of all rows of pool (id, a, b): what cotrained() asks for, ties in the order of a hash. The driver gets sum(numbers) rows."""
+    shared = pool.sparkSession.sparkContext.broadcast((models, np.array(sorted(taken), np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, taken = shared.value
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            free = np.unique(ids, return_index=True)[1]  # rows of one id count once
+            free = free[~np.isin(ids[free], taken)]
+            tie = (ids[free].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+            x = [_matrix(batch.column(c)) for c in ("a", "b")]
+            at, kinds, certain, ties = [], [], [], []
+            for kind, ((view, label), n) in enumerate(zip(HANDED, numbers, strict=True)):
+                p = _prob(_logit(x[view][free], models[view]))
+                p = p if label else 1 - p
+                best = np.lexsort((tie, -p))[:n]
+                best = best[p[best] >= sure]
+                at.append(free[best]), kinds.append(np.full(len(best), kind, np.int32)), certain.append(p[best]), ties.append(tie[best])
+            rows = batch.take(pa.array(np.concatenate(at)))
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(certain)), pa.array(np.concatenate(ties).view(np.int64)), *rows.columns], ["kind", "p", "tie", "id", "a", "b"])
+
+    found, path = scratch.write(pool.mapInArrow(run, "kind int, p double, tie bigint, id bigint, a array<float>, b array<float>"))
+    best = None
+    for kind, n in enumerate(numbers):
+        part = found.where(F.col("kind") == kind).dropDuplicates(["id"]).orderBy(F.col("p").desc(), "tie", "id").limit(n)
+        best = part if best is None else best.unionAll(part)
+    rows = best.toArrow().combine_chunks().sort_by([("kind", "ascending"), ("p", "descending"), ("tie", "ascending"), ("id", "ascending")])
+    out, used = {pair: ([], [[], []]) for pair in HANDED}, set()
+    for kind, i, a, b in zip(*(rows[c] for c in ("kind", "id", "a", "b")), strict=True):
+        if i.as_py() not in used:  # two views may be sure of one document; the first one hands it over
+            used.add(i.as_py())
+            ids, features = out[HANDED[kind.as_py()]]
+            ids.append(i.as_py()), features[0].append(a.values.to_numpy()), features[1].append(b.values.to_numpy())
+    scratch.drop(path)
+    shared.destroy()
+    return {pair: (ids, [np.stack(f) for f in features] if ids else []) for pair, (ids, features) in out.items()}
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars",
-    label_id: str = "doc_id", label_col: str = "quality", per_class: int = 1500, pool: int = 3000,
+    label_id: str = "doc_id", label_col: str = "quality", per_class: int = 1500, rounds: int = 5, take: int = 100, sure: float = 0.95,
 ) -> Model:
-    """The model of bounded samples; labels of held-out documents are never read."""
+    """The model of a bounded sample of labelled documents and of all unlabelled ones; labels of held-out documents are never read."""
     usable = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isin(0, 1))
     known = usable.where(~held_out(label_id)).groupBy(F.col(label_id).cast("bigint").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     counts = {y: n for y, n in known.groupBy("y").count().collect()}
@@ -174,22 +224,28 @@ def fit(
     order = [F.xxhash64("id", F.lit(13)), F.col("id")]
     chosen = known.where("y = 0").orderBy(*order).limit(per_class).unionAll(known.where("y = 1").orderBy(*order).limit(per_class))
     rows = _columns(docs, id_col, text_col, source_col, lang_col, chars_col).withColumn("id", F.col("id").cast("bigint"))
-    free = rows.select("id").where("id is not null").join(usable.select(F.col(label_id).cast("bigint").alias("id")), "id", "left_anti").distinct()
-    free = free.orderBy(*order).limit(pool).withColumn("y", F.lit(-1))
-    # At most 2 * per_class + pool ids: a bounded broadcast; the smallest row stands for an id that several rows have.
-    sample = rows.join(F.broadcast(chosen.unionAll(free)), "id").groupBy("id", "y").agg(F.min(F.struct("text", "source", "lang", "chars")).alias("r")).select("id", "y", "r.*")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = _views(batch)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.float32())
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(list(a), kind), pa.array(list(b), kind)], ["id", "y", "a", "b"])
+        for batch in batches:
+            for part in in_slices(batch, "text", 4 << 20):
+                a, b = _views(part)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(list(a), kind), pa.array(list(b), kind)], ["id", "y", "a", "b"])
 
-    found = arrow_map(sample, run, "id bigint, y int, a array<float>, b array<float>").toArrow().combine_chunks().sort_by("id")
+    schema = "id bigint, y int, a array<float>, b array<float>"
+    # At most 2 * per_class ids: a bounded broadcast; the smallest row stands for an id that several rows have.
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct("text", "source", "lang", "chars")).alias("r")).select("id", "y", "r.*")
+    found = sample.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("id")
     y = found["y"].to_numpy()
-    a, b = (np.stack(found[c].to_numpy()) if found.num_rows else np.zeros((0, 1)) for c in ("a", "b"))
-    if len(set(y[y >= 0].tolist())) < 2:
-        return _constant(float((y == 1).sum() / max(1, (y >= 0).sum())))
-    return cotrained([a[y >= 0], b[y >= 0]], y[y >= 0].astype(float), [a[y < 0], b[y < 0]])
+    if len(set(y.tolist())) < 2:
+        return _constant(float((y == 1).sum() / max(1, len(y))))
+    a, b = (np.stack(found[c].to_numpy()) for c in ("a", "b"))
+    free = rows.where("id is not null").join(usable.select(F.col(label_id).cast("bigint").alias("id")), "id", "left_anti").withColumn("y", F.lit(-1))
+    scratch = Scratch(docs.sparkSession, "cotrain")
+    pool = scratch.keep(free.mapInArrow(run, schema).drop("y"))
+    model = cotrained([a, b], y.astype(float), lambda models, numbers, taken: _surest(pool, models, numbers, taken, sure, scratch), rounds, take)
+    scratch.drop(scratch.root)
+    return model
 
 
 def scores(

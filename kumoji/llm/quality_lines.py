@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in DataFrame operations only.
 
 Each line is normalised (lower case, no outer blanks) and hashed; for each host the distinct documents that hold it
-are counted; a line in more documents than the limit is removed everywhere on that host, and a document that keeps
+are counted; a line in more documents than the limit is removed everywhere on that host (by clean()), and a document that keeps
 less than `min_kept` of its characters is rejected, as is one that fails the base rules. The limit of a host is
 `share` of its documents, `min_docs` at least, so it means the same at every size.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name
 from .native import ascii_words, let, runs
 
 SYMBOLS = "#*$%&|<>"
@@ -45,6 +45,11 @@ def _blankless(text: Column) -> Column:
     return F.translate(text, " \t\n\x0b\x0c\r", "")
 
 
+def _line(x: Column) -> Column:
+    """The hash of a normalised line."""
+    return F.xxhash64(F.lower(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))))
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """A row per document: base counts, and its lines as (hash, characters)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -59,7 +64,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
             real,
             lambda r: F.struct(
                 (F.size(r) - F.size(F.array_distinct(r))).cast("bigint").alias("n_dup_lines"),
-                F.transform(r, lambda x: F.struct(F.xxhash64(F.lower(F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")))).alias("h"), F.length(x).alias("n"))).alias("lines"),
+                F.transform(r, lambda x: F.struct(_line(x).alias("h"), F.length(x).alias("n"))).alias("lines"),
             ),
         )
 
@@ -80,18 +85,39 @@ def frequent_lines(rows: DataFrame, share: float, min_docs: int) -> DataFrame:
     return held.join(of_host, same).where(held["n"] > limit).select(held["host"], "h")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.01, min_docs: int = 10, min_kept: float = 0.5) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_chars."""
-    rows = Scratch(docs.sparkSession, "quality").keep(measured(docs, id_col, text_col, host_col))
+def _verdicts(rows: DataFrame, share: float, min_docs: int, min_kept: float, lists: bool = False) -> DataFrame:
+    """measured() rows with base_failed, kept, removed_chars and, if lists, gone_lines: the hashes of their frequent lines."""
     often = frequent_lines(rows, share, min_docs).withColumnsRenamed({"host": "o_host", "h": "o_h"})
     lines = rows.select("doc_id", "host", "version", F.explode("lines").alias("x")).select("doc_id", "host", "version", "x.h", "x.n")
     gone = lines.join(often, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("h") == F.col("o_h")), "left_semi")
     # Rows with equal id, host and text add up here; dividing by their number gives one row's share.
-    gone = gone.groupBy("doc_id", "host", "version").agg(F.sum("n").alias("gone"))
+    more = [F.collect_set("h").alias("gone_lines")] if lists else []  # no longer than a document's lines
+    gone = gone.groupBy("doc_id", "host", "version").agg(F.sum("n").alias("gone"), *more)
     copies = rows.groupBy("doc_id", "host", "version").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])).alias("all_chars"))
     share_gone = copies.join(gone, copies["doc_id"].eqNullSafe(gone["doc_id"]) & copies["host"].eqNullSafe(gone["host"]) & (copies["version"] == gone["version"]), "left")
-    share_gone = share_gone.select(copies["doc_id"].alias("c_doc"), copies["host"].alias("c_host"), copies["version"].alias("c_version"), (F.coalesce("gone", F.lit(0)) / F.col("copies")).cast("bigint").alias("removed_chars"), (F.col("all_chars") / F.col("copies")).cast("bigint").alias("all_chars"))
+    more = [F.coalesce("gone_lines", F.array().cast("array<bigint>")).alias("gone_lines")] if lists else []
+    share_gone = share_gone.select(copies["doc_id"].alias("c_doc"), copies["host"].alias("c_host"), copies["version"].alias("c_version"), (F.coalesce("gone", F.lit(0)) / F.col("copies")).cast("bigint").alias("removed_chars"), (F.col("all_chars") / F.col("copies")).cast("bigint").alias("all_chars"), *more)
     out = rows.drop("lines").join(share_gone, F.col("doc_id").eqNullSafe(F.col("c_doc")) & F.col("host").eqNullSafe(F.col("c_host")) & (F.col("version") == F.col("c_version")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     whole = F.col("all_chars") - F.col("removed_chars") >= F.col("all_chars") * min_kept
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & whole).alias("kept"), "removed_chars")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & whole)
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.01, min_docs: int = 10, min_kept: float = 0.5) -> DataFrame:
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_chars."""
+    rows = Scratch(docs.sparkSession, "quality").keep(measured(docs, id_col, text_col, host_col))
+    return _verdicts(rows, share, min_docs, min_kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.01, min_docs: int = 10, min_kept: float = 0.5) -> DataFrame:
+    """docs that are kept, without their frequent lines; a text without any stays as it was, other columns are not touched."""
+    rows = Scratch(docs.sparkSession, "quality").keep(measured(docs, id_col, text_col, host_col))
+    names = {c: free_name(docs, c) for c in ("k_doc", "k_host", "k_version", "k_gone")}
+    kept = _verdicts(rows, share, min_docs, min_kept, lists=True).where("kept")
+    kept = kept.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "host", "version", "gone_lines"), names.values(), strict=True))).dropDuplicates([*names.values()][:3])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    same = F.col(id_col).eqNullSafe(F.col(names["k_doc"])) & F.col(host_col).cast("string").eqNullSafe(F.col(names["k_host"])) & (F.xxhash64(text) == F.col(names["k_version"]))
+    gone = F.col(names["k_gone"])
+    left = F.concat_ws("\n", F.filter(F.split(text, "\n"), lambda x: (F.length(_blankless(x)) == 0) | ~F.array_contains(gone, _line(x))))
+    out = docs.join(kept, same)
+    return out.withColumn(text_col, F.when(F.size(gone) > 0, left).otherwise(F.col(text_col))).select(*docs.columns)
