@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kumoji.llm import bpe, decontaminate, substring, toxicity, widehash
-from kumoji.llm.common import Scratch, free_name, table, tokenizer_path
+from kumoji.llm.common import BLANKS, Scratch, free_name, table, tokenizer_path
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +19,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; a document with nothing left goes, and n_chars follows the text."""
-    had = free_name(docs, "had")
-    cut = substring.dedup(docs.withColumn(had, F.col("text").isNotNull() & (F.length(F.col("text")) > 0)))
-    kept = cut.where(~F.col(had) | (F.length(F.trim("text")) > 0))
+    """Repeated passages are cut out of the texts; a document that loses all its words goes, and n_chars follows the text."""
+    had, words = free_name(docs, "had"), F.length(F.translate(F.coalesce("text", F.lit("")), BLANKS, "")) > 0
+    cut = substring.dedup(docs.withColumn(had, words))
+    kept = cut.where(~F.col(had) | words)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
