@@ -244,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = sample.withColumn("tells", F.pmod(F.xxhash64("id", F.lit(12)), F.lit(8)) == 0)  # not trained on
     # Lost partitions are made again from the tables; order by a hash, so that they are made alike.
     parts = max(1, min(PARTS, sum(min(k, per_class) for k in counts.values()) // PART))
-    sample = sample.repartition(parts, "id").sortWithinPartitions(F.xxhash64("id", F.lit(13)), "id").persist()
+    sample = sample.repartition(parts, "id").sortWithinPartitions(F.xxhash64("id", F.lit(13)), "id")
+    sample = sample.coalesce(parts).persist()  # so many models at most, whatever the session's least number of partitions
     sizes = {(r["y"], r["tells"]): r["count"] for r in sample.groupBy("y", "tells").count().collect()}
     n = [sizes.get((y, False), 0) for y in (0, 1)]
     if not all(n):

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .common import Scratch, as_text, free_name, in_slices
 from .simhash import SEED, connected
@@ -91,7 +91,7 @@ def keys(s: np.ndarray, trees: int) -> list[int]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int) -> DataFrame:
-    """(doc_id, version, fp, keys) of each row; version is Spark's xxhash64 of the text."""
+    """(doc_id, version, s1, s2, fp, keys) of each row; version is Spark's xxhash64 of the text, s1 and s2 name fp and keys."""
     text = as_text(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
@@ -100,10 +100,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int
             for part in in_slices(batch, "text", 4 << 20):
                 found = [shingles(t.as_py(), width) for t in part.column("text")]
                 own = [np.array(keys(s, trees), np.uint64).view(np.int64) for s in found]
-                columns = [part.column("doc_id"), part.column("version"), pa.array(map(fingerprint, found), pa.binary()), pa.array(own, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "fp", "keys"])
+                fps = [fingerprint(s) for s in found]
+                names = np.frombuffer(b"".join(xxh3_128_digest(f + k.tobytes()) for f, k in zip(fps, own, strict=True)), np.int64).reshape(-1, 2)
+                columns = [part.column("doc_id"), part.column("version"), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(fps, pa.binary()), pa.array(own, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "s1", "s2", "fp", "keys"])
 
-    return rows.mapInArrow(run, "doc_id bigint, version bigint, fp binary, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, version bigint, s1 bigint, s2 bigint, fp binary, keys array<bigint>")
 
 
 def _matrix(fps: pa.Array) -> np.ndarray:
@@ -197,13 +199,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = scratch or Scratch(spark, "widehash")
     own = scratch.keep(sketches(docs, id_col, text_col, width, trees_for(similarity)))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
-    # Written, so that a node's number stays what it is if a task runs again.
-    nodes = scratch.keep(own.groupBy("fp", "keys").agg(F.min(row).alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    # Written, so that a node's number stays what it is if a task runs again; from then on only the narrow columns move.
+    nodes = own.groupBy("s1", "s2").agg(F.min(row).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = connected(links(nodes, similarity, scratch, max_group), spark)
-    rooted = nodes.join(roots, "node", "left").select("fp", "keys", "least", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.select("s1", "s2", "least", "node").join(roots, "node", "left").select("s1", "s2", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    of = rooted.drop("least").join(least, "root").select("fp", "keys", "least")
-    return own.join(of, ["fp", "keys"]).select("doc_id", "version", "least")
+    of = rooted.drop("least").join(least, "root").select("s1", "s2", "least")
+    return own.select("doc_id", "version", "s1", "s2").join(of, ["s1", "s2"]).select("doc_id", "version", "least")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
