@@ -43,6 +43,8 @@ BLOCKS = 8
 #: Shingles that are hashed at once, and trie nodes walked at once.
 SLICE, FLUSH = 1 << 12, 1 << 15
 WORDS = BITS // 64
+#: Rows (of two numbers) of documents to remove that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def budget_for(similarity: float) -> int:
@@ -219,5 +221,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = kept.keep(found.where(~own).select(F.col("doc_id").alias(g_id), F.col("version").alias(g_version)).distinct())
     repeated = bool(found.where(own).groupBy("doc_id", "version").count().where("count > 1").take(1))
     scratch.drop(scratch.root)
+    if gone.count() <= BROADCAST:
+        gone = F.broadcast(gone)
     out = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col(g_id)) & (F.xxhash64(as_text(text_col)) == F.col(g_version)), "left_anti")
     return out.dropDuplicates([id_col, text_col]) if repeated else out
