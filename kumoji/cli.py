@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import normalized_query
 from .operators import align, corpus, manifest, search, units, validate
 from .sources import landed
 
@@ -30,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     job("validate")
     s = job("search")
     s.add_argument("query")
-    s.add_argument("--mode", choices=("auto", "exact", "loose"), default="auto")
+    s.add_argument("--mode", choices=("auto", "lemma", "surface", "exact", "loose"), default="auto")
     s.add_argument("--limit", type=int, default=20)
     job("update", "--playlist", "--pages").add_argument("--count", type=int, default=10)
     return top
@@ -41,7 +42,7 @@ def list_videos(spark: SparkSession, data: str, playlist: str) -> None:
 
 
 def discover_scripts(spark: SparkSession, data: str, pages: str) -> None:
-    landed.write_stable(landed.script_pages(spark.read.parquet(pages)), f"{data}/scripts")
+    landed.write_stable(landed.script_pages(spark.read.parquet(pages), hooks=True), f"{data}/scripts")
 
 
 def build_manifest(spark: SparkSession, data: str) -> None:
@@ -83,9 +84,13 @@ def rebuild_index(spark: SparkSession, data: str) -> None:
 
 def run_search(spark: SparkSession, data: str, query: str, mode: str, limit: int) -> None:
     index = corpus.Index(spark, f"{data}/index")
-    page = {"auto": search.auto, "exact": search.exact, "loose": search.loose}[mode](index, query, limit)
-    lead = 0.0 if mode == "auto" else 1.0
-    search.hydrated(page.rows(), index.segments(), lead).select("timestamp", "url", "text").show(limit, truncate=False)
+    page = {"auto": search.auto, "lemma": search.lemma, "surface": search.surface, "exact": search.exact, "loose": search.loose}[mode](index, query, limit)
+    lead = 1.0 if mode in ("exact", "loose") else 0.0
+    total, rows = page.total(), page.rows()
+    shown = search.hydrated(rows, index.segments_of(rows, page.limit), lead).orderBy("segment_id").select("episode", "timestamp", "url", "text").collect()  # a page
+    print(f"Search: {normalized_query(query)} ({', '.join(page.searched())}, {total} result{'' if total == 1 else 's'}, showing {len(shown)})")
+    for k, r in enumerate(shown, 1):
+        print(f"\n{k}. ep.{r.episode} {r.timestamp}\n   {r.text}\n   {r.url}")
 
 
 def run_validate(spark: SparkSession, data: str) -> None:

@@ -15,8 +15,12 @@ TERMINATORS = "。！？!?"
 TOKEN = r"[\p{L}\p{N}]+"
 #: Rulers, star headings and bracket headings, which are no sentences.
 STRUCTURAL = r"^[-=_ー―—–─ 　]+$|^★|^【[^】]*】$"
-#: Calls to support a show, after any bullet; a list that callers may replace.
-BOILERPLATE = (r"(?i)\bdonat", r"(?i)\bsupport (?:me|us|the show)\b", r"(?i)\bpatreon\b", r"サポート.*お願い", r"寄付")
+#: The bullets before, and the whole lines that are, a call to support a show; the account may be any.
+BULLETS = r"^[◾■□▪\x{FE0F}\s\x{A0}\x{3000}]+"
+BOILERPLATE = (
+    r"^サポートお願いします[！!]*$", r"^Buy Me a Coffee[！!]*$", r"(?i)^https://buymeacoffee\.com/[\w-]+/?[！!]*$",
+    r"(?i)^サポートお願いします[！!]?\s+Buy Me a Coffee\s+https://buymeacoffee\.com/[\w-]+/?[！!]*$", r"(?i)^Buy Me a Coffee\s*https://buymeacoffee\.com/[\w-]+/?[！!]*$",
+)
 
 
 @F.pandas_udf(StringType())
@@ -53,36 +57,38 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def without_boilerplate(text: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
-    line_of = lambda x: F.regexp_replace(x, r"^[\s\-*・●]+", "")
+def without_boilerplate(text: Column, patterns: tuple[str, ...] = BOILERPLATE, bullets: str = BULLETS) -> Column:
+    """The text without the lines that match a pattern once their bullets are gone."""
+    line_of = lambda x: F.regexp_replace(x, bullets, "")
     known = lambda x: F.coalesce(*[F.when(line_of(x).rlike(p), F.lit(True)) for p in patterns], F.lit(False))
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~known(x)), "\n")
 
 
 def xml_decoded(text: Column) -> Column:
-    """Ampersands first, so what was encoded twice is decoded twice."""
+    """Ampersands first, so what was encoded twice is decoded twice; names in either case."""
     for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'")):
-        text = F.replace(text, F.lit(name), F.lit(char))
+        text = F.regexp_replace(text, f"(?i){name}", char)
     return text
 
 
-_NUMERIC = re.compile(r"&#(?:x([0-9a-fA-F]{1,6})|(\d{1,7}));")
+_DECIMAL, _HEX = re.compile(r"&#0*([0-9]{1,7});"), re.compile(r"&#[xX]0*([0-9a-fA-F]{1,6});")
 
 
-def _numeric(m: re.Match) -> str:
-    code = int(m[1], 16) if m[1] else int(m[2])
+def _character(m: re.Match, base: int) -> str:
+    code = int(m[1], base)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
 
 @F.pandas_udf(StringType())
 def numeric_decoded(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else _NUMERIC.sub(_numeric, s))
+    """Decimal references, then hexadecimal ones; what names no character stays."""
+    return text.map(lambda s: None if s is None else _HEX.sub(lambda m: _character(m, 16), _DECIMAL.sub(lambda m: _character(m, 10), s)))
 
 
 def html_decoded(text: Column, numeric: bool = True) -> Column:
     text = xml_decoded(text)
-    for name, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'")):
-        text = F.replace(text, F.lit(name), F.lit(char))
+    for name, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;|&#x27;", "'")):
+        text = F.regexp_replace(text, f"(?i){name}", char)
     return numeric_decoded(text) if numeric else text
 
 
@@ -92,13 +98,29 @@ def single_spaced(text: Column) -> Column:
 
 def visible_text(html: Column, numeric: bool = True) -> Column:
     """Line breaks and closing block tags become newlines; scripts, styles and tags go; entities are decoded; lines are trimmed, blank ones dropped."""
-    text = F.regexp_replace(html, r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|section|article)>", "\n")
+    text = F.regexp_replace(html, r"(?i)<br\b[^>]*>|</(?:p|div|h[1-6]|li|section|article)>", "\n")
     text = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</\1>", "")
     text = html_decoded(F.regexp_replace(text, r"<[^>]*>", ""), numeric)
     lines = F.transform(F.split(text, "\n"), single_spaced)
     return F.array_join(F.filter(lines, lambda x: F.length(x) > 0), "\n")
 
 
+def post_text(html: Column, numeric: bool = True) -> Column:
+    """A rendered post: after the tag with the description hook, up to the footer tag that holds the footer hook (else the recent posts' hook, else the end)."""
+    # The page builder's hooks.
+    hook, footer, recent = 'data-hook="post-description"', 'data-hook="post-footer"', 'data-hook="recent-posts"'
+    opened = F.locate(hook, html)
+    rest = F.substr(html, F.greatest(opened, F.lit(1)))
+    close = F.locate(">", rest)
+    body = F.substr(rest, close + 1)
+    at_footer, at_recent = F.locate(footer, body), F.locate(recent, body)
+    ahead = F.when(at_footer > 0, F.substr(body, F.lit(1), at_footer - 1))
+    last = F.length(F.substring_index(ahead, "<footer", -1))  # what stands behind the last footer tag
+    before = F.when(F.contains(ahead, F.lit("<footer")), F.substr(ahead, F.lit(1), F.length(ahead) - last - len("<footer"))).otherwise(F.lit(""))
+    cut = F.when(at_footer > 0, before).when(at_recent > 0, F.substr(body, F.lit(1), at_recent - 1)).otherwise(body)
+    return F.when(html.isNotNull(), F.when((opened > 0) & (close > 0), without_boilerplate(visible_text(cut, numeric))).otherwise(F.lit("")))
+
+
 def between(text: Column, start: str, end: str) -> Column:
     """What stands after the first `start` and before the next `end` (or the text's end); null without a start."""
     at = F.locate(start, text)
@@ -107,19 +129,22 @@ def between(text: Column, start: str, end: str) -> Column:
     return F.when(at > 0, F.when(stop > 0, F.substr(rest, F.lit(1), stop - 1)).otherwise(rest))
 
 
-def episode_from_title(title: Column) -> Column:
-    """The number after ep / episode, or within 第N回; not part of a longer word or number."""
-    found = F.regexp_extract(title, r"(?iu)(?:^|[^\p{L}\p{N}])(?:episode|ep)[\s.:#_-]*0*(\d{1,4})(?![\p{L}\p{N}])", 1)
-    japanese = F.regexp_extract(title, r"第\s*0*(\d{1,4})\s*回", 1)
-    number = F.coalesce(F.nullif(found, F.lit("")), F.nullif(japanese, F.lit(""))).cast("int")
+_GAP, _SEPARATORS = r"[\s\x{A0}\x{3000}]*", r"[\s\x{A0}\x{3000}._-]*"
+
+
+def _positive(value: Column, pattern: str) -> Column:
+    number = F.nullif(F.regexp_extract(value, pattern, 1), F.lit("")).cast("int")
     return F.when(number > 0, number)
 
 
+def episode_from_title(title: Column) -> Column:
+    """The number after ep / episode, else within 第N回; not part of a longer word or number, and not zero."""
+    return F.coalesce(_positive(title, rf"(?iu)(?:^|[^\p{{L}}\p{{N}}])(?:episode|ep){_SEPARATORS}0*(\d{{1,4}})(?![\p{{L}}\p{{N}}])"), _positive(title, rf"(?:^|[^\p{{L}}\p{{N}}])第{_GAP}0*(\d{{1,4}}){_GAP}回(?![\p{{L}}\p{{N}}])"))
+
+
 def episode_from_page(text: Column) -> Column:
-    """As from titles, else the mistyped form p.N."""
-    typo = F.regexp_extract(text, r"(?iu)(?:^|[^\p{L}\p{N}])p\.\s*0*(\d{1,4})(?![\p{L}\p{N}])", 1)
-    number = F.nullif(typo, F.lit("")).cast("int")
-    return F.coalesce(episode_from_title(text), F.when(number > 0, number))
+    """As from titles, else the mistyped form p N, with any separators of blanks, dots, dashes and underscores."""
+    return F.coalesce(episode_from_title(text), _positive(text, rf"(?iu)(?:^|[^\p{{L}}\p{{N}}])p{_SEPARATORS}0*(\d{{1,4}})(?![\p{{L}}\p{{N}}])"))
 
 
 VIDEO_ID = r"^[A-Za-z0-9_-]{11}$"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from itertools import islice
@@ -25,6 +26,11 @@ WINDOW, OCCURRENCES = 2600, 40
 PREVIOUS_WEIGHT, NEXT_WEIGHT, DISTANCE_WEIGHT = 0.08, 0.45, 0.18
 JUMP_SECONDS, JUMP_PENALTY = 20.0, 0.8
 OVERLAP, CUE_SCORE = 5.0, 0.12
+EARLY_PART = 0.35  # of a unit: anchors behind it don't place its start
+LATE_SECONDS, LATE_SHARE = 2.5, 0.45  # a first anchor so late in its cue is drawn back to this share of the delay
+LATIN_LEAD = 1.5
+
+_LATIN = re.compile(r"[A-Za-z0-9]+")
 
 
 @dataclass(frozen=True)
@@ -97,7 +103,8 @@ def best_candidate(unit: Unit, before: str, after: str, lat: Lattice, cursor: in
     needle, text = unit.norm, lat.text
     low = max(0, cursor - 25)
     high = min(len(text), low + WINDOW + len(needle))
-    starts = sorted({at - offset for part, offset in anchors(needle) for at in islice(_occurrences(text, part, low, high), OCCURRENCES) if at - offset >= low})
+    starts = {at - offset for part, offset in anchors(needle) for at in islice(_occurrences(text, part, low, high), OCCURRENCES)}
+    starts = sorted({max(0, at) for at in starts})  # a part at the window's start may belong to a span that begins before it
     if not starts:
         starts = range(low, high, max(1, len(needle) // 3))
     step = 1 if len(needle) < 18 else 2 if len(needle) < 50 else 4
@@ -158,26 +165,70 @@ def interpolate(units: list[Unit], start: float, end: float, limit: float = 12.0
     return out
 
 
-def cue_anchor(unit: Unit, lat: Lattice, low: float, high: float) -> tuple[float, float] | None:
-    """(start, score) of the best place in a time window where a part of the unit's beginning occurs."""
-    first, last = bisect.bisect_left(lat.starts, low), bisect.bisect_right(lat.starts, high)
-    parts = {(unit.norm[o : o + n], o) for n in (8, 6, 4, 3, 2) for o in (range(5) if n < 8 else (0,)) if len(unit.norm) >= o + n}
-    best = None
-    for part, offset in sorted(parts, key=lambda p: (-len(p[0]), p[1])):
-        for at in _occurrences(lat.text, part, first, last):
-            window = lat.text[at : at + len(unit.norm) - offset]
-            score = 0.7 * similarity(unit.norm[offset:], window) + 0.3 * len(part) / min(8, max(1, len(unit.norm)))
+@dataclass(frozen=True)
+class Spoken:
+    """Characters of the cues of a gap: each is spoken for an even share of its own cue."""
+
+    text: str
+    times: list[tuple[float, float, float]]  # start, end, start of the cue
+
+
+def spoken(lat: Lattice, low: float, high: float) -> Spoken:
+    """The cues that overlap a stretch of time."""
+    chars, times = [], []
+    for start, end, text in lat.cues:
+        if end < low or start > high:
+            continue
+        own = comparable_text(text)
+        each = max(end - start, 0.05) / max(1, len(own))
+        chars.append(own)
+        times += [(start + i * each, start + (i + 1) * each, start) for i in range(len(own))]
+    return Spoken("".join(chars), times)
+
+
+def _cue_parts(needle: str) -> list[tuple[str, int]]:
+    """Parts near a unit's beginning and their offsets, longest first: its head at five lengths, shifted heads, general anchors that lie early, a first Latin word."""
+    parts = [(needle[:n], 0) for n in (8, 6, 4, 3, 2) if len(needle) >= n]
+    parts += [(needle[o : o + 8], o) for o in (1, 2, 3, 4) if len(needle) >= o + 4]
+    parts += [(p, o) for p, o in anchors(needle) if o <= EARLY_PART * len(needle)]
+    if (word := _LATIN.match(needle)) and len(word[0]) > 1:
+        parts.append((word[0][:8], 0))
+    return sorted(dict.fromkeys(parts), key=lambda p: -len(p[0]))
+
+
+def anchor_in(unit: Unit, cues: Spoken, low: float, high: float) -> tuple[float, float] | None:
+    """(start, score) of the best place in a time window where a part of the unit's beginning occurs; a Latin unit without one goes just before the first Latin character."""
+    best, needle = None, unit.norm
+    for part, offset in _cue_parts(needle):
+        for at in _occurrences(cues.text, part, 0, len(cues.text)):
+            start, end, cue = cues.times[at]
+            if end < low or start > high:
+                continue
+            window = cues.text[at : at + max(len(needle) - offset, len(part) + 16)]
+            score = 0.7 * similarity(needle[offset:], window) + 0.3 * len(part) / min(8, max(1, len(needle)))
             if best is None or score > best[1]:
-                each = min(0.25, max(0.04, lat.ends[at] - lat.starts[at]))
-                best = (lat.starts[at] - offset * each, score)
+                late = offset == 0 and not _LATIN.match(part) and start - cue > LATE_SECONDS
+                placed = cue + LATE_SHARE * (start - cue) if late else start - offset * min(0.25, max(0.04, end - start))
+                best = (max(0.0, placed), score)
+    if best is None and _LATIN.fullmatch(needle):
+        first = next((t[0] for c, t in zip(cues.text, cues.times, strict=True) if _LATIN.match(c) and low <= t[0] <= high), None)
+        best = None if first is None else (max(low, first - LATIN_LEAD), CUE_SCORE)
     return best
 
 
+def cue_anchor(unit: Unit, lat: Lattice, low: float, high: float) -> tuple[float, float] | None:
+    return anchor_in(unit, spoken(lat, low, high), low, high)
+
+
 def anchored(units: list[Unit], rejected: dict[int, tuple[float, float, float]], lat: Lattice, start: float, end: float) -> list[Draft]:
     """Units placed at cue anchors within a gap; what has none is put between its neighbours."""
     places: list[float | None] = []
+    low = max(0.0, start - OVERLAP)
+    cues = spoken(lat, low, end)
+    if not cues.text:
+        return []
     for u in units:
-        found = cue_anchor(u, lat, start - OVERLAP, end)
+        found = anchor_in(u, cues, low, end)
         if found and found[1] >= CUE_SCORE:
             places.append(found[0])
         else:

@@ -79,8 +79,11 @@ def segment_tokens(segs: DataFrame, tokenizer: Tokenizer = regex_tokenizer) -> D
 
 def _keys(segs: DataFrame, kind: str, tokenizer: Tokenizer) -> DataFrame:
     """(key, segment_id, episode), each key once a segment: distinct within the row, so without a shuffle."""
-    tokens = F.filter(tokenizer(F.col("text")), indexable)
-    return segs.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: F.trim(t[kind])))).alias("key"), "segment_id", "episode")
+    if tokenizer is regex_tokenizer:  # its words are all indexed, so no token structs are needed
+        words = text.tokens(F.col("text")) if kind == "surface" else F.transform(text.tokens(F.col("text")), F.lower)
+    else:
+        words = F.transform(F.filter(tokenizer(F.col("text")), indexable), lambda t: F.trim(t[kind]))
+    return segs.select(F.explode(F.array_distinct(words)).alias("key"), "segment_id", "episode")
 
 
 def postings(segs: DataFrame, kind: str = "surface", tokenizer: Tokenizer = regex_tokenizer, block: int = BLOCK) -> DataFrame:
@@ -115,12 +118,24 @@ def index_counts(segs: DataFrame, tokenizer: Tokenizer = regex_tokenizer) -> Dat
 
 
 def write_index(segs: DataFrame, path: str, tokenizer: Tokenizer = regex_tokenizer) -> None:
-    """Serving tables: segments by block of episodes, postings by kind and bucket, and surface lemmas."""
-    segs.withColumn("block", F.floor(F.col("episode") / BLOCK)).repartition("block").write.mode("overwrite").partitionBy("block").parquet(f"{path}/segments")
+    """Serving tables: segments by block of episodes, postings by kind and bucket, and surface lemmas.
+
+    A bucket is dealt out by block too, so its size does not bind one task; rows lie sorted in it, so a look-up of a key
+    or an id skips row groups.
+    """
+    blocks = segs.withColumn("block", F.floor(F.col("episode") / BLOCK)).repartition("block", "episode").sortWithinPartitions("block", "segment_id")
+    blocks.write.mode("overwrite").partitionBy("block").parquet(f"{path}/segments")
     for kind in ("surface", "lemma"):
-        postings(segs, kind, tokenizer).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{kind}")
+        lists = postings(segs, kind, tokenizer).repartition("bucket", "block").sortWithinPartitions("bucket", "key", "block")
+        lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{kind}")
     pairs = segment_tokens(segs, tokenizer).select("surface", "lemma").distinct().withColumn("bucket", ids.bucket(F.col("surface")))
-    pairs.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/surface_lemmas")
+    pairs.repartition("bucket", F.substring("surface", 1, 1)).sortWithinPartitions("bucket", "surface").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/surface_lemmas")
+
+
+def _buckets(keys: list[str]) -> list[str]:
+    from hashlib import sha256
+
+    return sorted({sha256(k.encode()).hexdigest()[:2] for k in keys})
 
 
 class Index:
@@ -139,17 +154,24 @@ class Index:
     def segments(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/segments").drop("block") if self.path else self._segs
 
+    def segments_of(self, rows: DataFrame, most: int) -> DataFrame:
+        """The segments of a page of hits: at most `most` ids, so their blocks and ids become filters of the scan."""
+        found = [r["segment_id"] for r in rows.select("segment_id").limit(most).collect()]  # a page, bounded by its limit
+        segs = self.spark.read.parquet(f"{self.path}/segments") if self.path else self._segs
+        if self.path:
+            segs = segs.where(F.col("block").isin(sorted({i // ids.PER_EPISODE // BLOCK for i in found}))).drop("block")
+        return segs.where(F.col("segment_id").isin(found))
+
     def hits(self, kind: str, keys: list[str]) -> DataFrame:
         """(key, segment_id) of the given keys."""
         if not self.path:
             return _keys(self._segs, kind, self._tokenizer).where(F.col("key").isin(keys)).select("key", "segment_id")
-        from hashlib import sha256
-
-        buckets = sorted({sha256(k.encode()).hexdigest()[:2] for k in keys})
-        found = self.spark.read.parquet(f"{self.path}/postings/{kind}").where(F.col("bucket").isin(buckets) & F.col("key").isin(keys))
+        found = self.spark.read.parquet(f"{self.path}/postings/{kind}").where(F.col("bucket").isin(_buckets(keys)) & F.col("key").isin(keys))
         return found.select("key", F.explode("segment_ids").alias("segment_id"))
 
-    def surface_lemmas(self) -> DataFrame:
+    def surface_lemmas(self, surfaces: list[str]) -> DataFrame:
+        """(surface, lemma) of the given surfaces."""
         if self.path:
-            return self.spark.read.parquet(f"{self.path}/surface_lemmas").select("surface", "lemma")
-        return segment_tokens(self._segs, self._tokenizer).select("surface", "lemma").distinct()
+            pairs = self.spark.read.parquet(f"{self.path}/surface_lemmas").where(F.col("bucket").isin(_buckets(surfaces)))
+            return pairs.where(F.col("surface").isin(surfaces)).select("surface", "lemma")
+        return segment_tokens(self._segs, self._tokenizer).where(F.col("surface").isin(surfaces)).select("surface", "lemma").distinct()

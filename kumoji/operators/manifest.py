@@ -87,9 +87,11 @@ def duplicates(rows: DataFrame, key: str, member: str) -> DataFrame:
 
 
 def missing(rows: DataFrame, key: str) -> DataFrame:
-    """Numbers between the smallest and the largest key that no row has."""
-    span = rows.agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a is not null")
-    return span.select(F.explode(F.sequence("a", "b")).alias(key)).join(rows.select(key).distinct(), key, "left_anti")
+    """Numbers between the smallest and the largest key that no row has; the range is dealt out, not one row's array."""
+    a, b = rows.agg(F.min(key), F.max(key)).first()
+    kind = rows.schema[key].dataType
+    span = rows.sparkSession.range(a, b + 1) if a is not None else rows.sparkSession.range(0)
+    return span.select(F.col("id").cast(kind).alias(key)).join(rows.select(key).distinct(), key, "left_anti")
 
 
 def summary(segments: DataFrame, by: str, confidence: str = "confidence", source: str = "timing_source") -> DataFrame:

@@ -41,7 +41,7 @@ def episode_from_url(spark, sf_dir):
 
 def boilerplate_strip(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", text.without_boilerplate(F.col("text"), ("(?i)licen[sc]e", "(?i)^the ")).alias("text"))
+    return docs.select("doc_id", text.without_boilerplate(F.col("text"), ("(?i)licen[sc]e", "(?i)^the "), r"^[\s\-*・●]+").alias("text"))
 
 
 def script_page_status(spark, sf_dir):

@@ -71,11 +71,14 @@ def blog_metadata(html: Column) -> Column:
     return F.when(F.size(blog) > 0, F.struct(first["headline"].alias("headline"), first["datePublished"].alias("datePublished"), first["dateModified"].alias("dateModified")))
 
 
-def script_pages(pages: DataFrame, url: str = "url", html: str = "html", start: str = "<article>", end: str = "</article>", numeric: bool = True) -> DataFrame:
-    """(url, title, episode, title_episode, url_episode, text, status): parsed if title, episode and text are there."""
+def script_pages(pages: DataFrame, url: str = "url", html: str = "html", start: str = "<article>", end: str = "</article>", numeric: bool = True, hooks: bool = False) -> DataFrame:
+    """(url, title, episode, title_episode, url_episode, text, status): parsed if title, episode and text are there.
+
+    The text is what the page builder's hooks enclose, if asked for, else what stands between two markers.
+    """
     meta = pages.withColumn("meta", blog_metadata(F.col(html)))
     title = F.coalesce(F.nullif(F.trim("meta.headline"), F.lit("")), text.visible_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), numeric))
-    body = text.without_boilerplate(text.visible_text(text.between(F.col(html), start, end), numeric))
+    body = text.post_text(F.col(html), numeric) if hooks else text.without_boilerplate(text.visible_text(text.between(F.col(html), start, end), numeric))
     rows = meta.select(F.col(url).alias("url"), title.alias("title"), body.alias("text"), F.col("meta.datePublished").alias("published_at"), F.col("meta.dateModified").alias("modified_at"))
     rows = rows.withColumn("title_episode", text.episode_from_page(F.col("title"))).withColumn("url_episode", text.episode_from_page(F.col("url")))
     rows = rows.withColumn("episode", F.coalesce("title_episode", "url_episode"))

@@ -38,15 +38,28 @@ def test_search_modes(spark, segs, tmp_path):
         assert found(search.loose(index, "　")) == [] and found(search.exact(index, "パン", 1, 1)) == []
         page = search.loose(index, "食べる", 1, 0)
         assert (page.total(), page.next_cursor()) == (2, 1)
+        assert found(search.lemma(index, "食べる")) == [100000, 200000] and found(search.lemma(index, "食べ")) == [] and found(search.surface(index, "食べ")) == [100000]
+        assert search.surface(index, "食べ").searched() == ["surface:食べ"] and search.auto(index, "食べ").searched() == ["lemma:食べる"]
+        assert [r.text for r in search.hydrated(page.rows(), index.segments_of(page.rows(), 1)).collect()] == ["昨日パンを食べました。"]
         assert [r.segment_id for r in search.within_episodes(search.auto(index, "食べる").hits, 2, 2).collect()] == [200000]
-    with pytest.raises(ValueError):
-        search.auto(index, " ")
+    plan = index.segments_of(page.rows(), 1)._jdf.queryExecution().executedPlan().toString() + index.surface_lemmas(["食べ"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [") == 2 and "PartitionFilters: []" not in plan
+    for mode in (search.auto, search.lemma, search.surface):
+        with pytest.raises(ValueError):
+            mode(index, " ")
     assert [search.limit_of(x) for x in (None, 0, 500, 7.9, float("nan"))] == [25, 1, 100, 7, 25] and search.cursor_of(-3) == 0
     lost = spark.createDataFrame([(5,)], "segment_id bigint")
     with pytest.raises(Exception, match="no segment 5"):
         search.hydrated(lost, segs).collect()
 
 
+def test_stem_of_one_character(spark):
+    rows = [(100000, "ep1-s00000", 1, 0, "見")]
+    one = spark.createDataFrame(rows, "segment_id bigint, segment_key string, episode bigint, local_index int, text string")
+    index = corpus.Index.of(one, corpus.dictionary_tokenizer({"見": ("見る", ["動詞"], "ミ")}))
+    assert search.stems(index, "見なかった") == ["見る"] and search.stems(index, "見ませんでした") == ["見る"] and search.stems(index, "見猫") == []
+
+
 def test_deinflection():
     terms = lambda s: {t for t, _ in deinflect.deinflect(s)}
     for inflected, base in (("食べました", "食べる"), ("飲んで", "飲む"), ("行かない", "行く"), ("高かった", "高い"), ("書きたかった", "書く"), ("見られない", "見る"), ("待っている", "待つ"), ("しました", "する"), ("来た", "来る")):
@@ -69,6 +82,19 @@ def test_text(spark):
     titles = ["ep.12 title", "第 3 回", "Episode 007!", "1234 trailer", "2024年", "ep12345", "deep 5", None]
     df = spark.createDataFrame([(t,) for t in titles], "t string")
     assert [r.e for r in df.select(text.episode_from_title(F.col("t")).alias("e")).collect()] == [12, 3, 7, None, None, None, None, None]
+    titles = ["ep 0 第5回", "大第5回", "第5回戦", "episode_09", "ep#4", "第　6 回"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert [r.e for r in df.select(text.episode_from_title(F.col("t")).alias("e")).collect()] == [5, None, None, 9, None, 6]
+    df = spark.createDataFrame([(t,) for t in ("p 12", "p-12", "p_12", "p12", "up 12", "p 0")], "t string")
+    assert [r.e for r in df.select(text.episode_from_page(F.col("t")).alias("e")).collect()] == [12, 12, 12, 12, None, None]
+    lines = "■ サポートお願いします！\nBuy Me a Coffee\nhttps://buymeacoffee.com/someone/\nサポートお願いします Buy Me a Coffee https://buymeacoffee.com/x\nBuy Me a Coffee please\n寄付の話\ndonating"
+    assert spark.range(1).select(text.without_boilerplate(F.lit(lines)).alias("v")).first().v == "Buy Me a Coffee please\n寄付の話\ndonating"
+    odd = "<br class=x>a&NBSP;b&AMP;lt;<BR/>&#X41;&#38;#x42;&#9999999;<>"
+    assert spark.range(1).select(text.visible_text(F.lit(odd)).alias("v")).first().v.startswith("a b&lt;".replace("&lt;", "<"))
+    post = '<div data-hook="post-description" x><p>one</p><footer>no</footer>{}<footer class=y data-hook="post-footer">f</footer><div data-hook="recent-posts">r</div>'
+    pages = [post.format("<p>two</p>"), post.replace("post-footer", "other").format(""), "<p>none</p>", '<div data-hook="post-description">all', None]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h string").select("i", text.post_text(F.col("h")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == ["one\nnotwo", "one\nnof<div", "", "all", None]  # a footer tag breaks no line; the cut is at the hook, within its tag
     html = "<p>a&amp;lt;b</p><script>var x='</p>'</script>c<br/> d&nbsp; e &#x41;&#66;<h2></h2>"
     assert spark.range(1).select(text.visible_text(F.lit(html)).alias("v")).first().v == "a<b\nc\nd e AB"
     got = spark.range(1).select(text.sentences(F.lit("一。二！？三\n---\n★四\n五")).alias("s"), text.nfkc(F.lit("ｶﾞＡ")).alias("n"), text.comparable(F.lit("ｶﾞ, A!")).alias("c")).first()
@@ -150,6 +176,20 @@ def test_alignment(spark):
     assert [d.start for d in gap][0] == 0.0 and gap[-1].end == 4.0 and align.interpolate(rows[:2], 0.0, 0.1) == []
 
 
+def test_cue_anchors():
+    unit = lambda s: align.Unit(0, 0, s, align.comparable_text(s))
+    cues = align.spoken(align.lattice([(0.0, 10.0, "あいうえおかきくけこ"), (20.0, 30.0, "kakuabcdef")]), 0.0, 40.0)
+    assert cues.text == "あいうえおかきくけこkakuabcdef" and cues.times[0] == (0.0, 1.0, 0.0)
+    start, score = align.anchor_in(unit("かきくけこ"), cues, 0.0, 40.0)
+    assert start == 5.0 * 0.45 and score > 0.5  # late in its cue
+    assert align.anchor_in(unit("うえお"), cues, 0.0, 40.0)[0] == 2.0
+    assert align.anchor_in(unit("abcdef"), cues, 0.0, 40.0)[0] == 24.0  # Latin text is not drawn back
+    assert align.anchor_in(unit("zz"), cues, 0.0, 40.0) == (18.5, align.CUE_SCORE)
+    assert align.anchor_in(unit("zz"), cues, 0.0, 15.0) is None and align.anchor_in(unit("猫"), cues, 0.0, 40.0) is None
+    many = align.spoken(align.lattice([(float(i), i + 1.0, "あい") for i in range(60)] + [(60.0, 61.0, "あいうえお")]), 0.0, 70.0)
+    assert align.anchor_in(unit("あいうえお"), many, 0.0, 70.0)[0] == 60.0
+
+
 def test_units_and_time(spark):
     df = spark.createDataFrame([(1, "短い。これは十分に長い文なのでそのまま残ります。\n---\n次の行もそれなりに長い文になっています。はい。")], "episode int, text string")
     assert [(r.block, r.text) for r in units.script_units(df).orderBy("unit_index").collect()] == [(0, "短い。これは十分に長い文なのでそのまま残ります。"), (2, "次の行もそれなりに長い文になっています。はい。")]
