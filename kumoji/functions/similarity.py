@@ -66,6 +66,11 @@ def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def dice_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([dice(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def mixed_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -6,37 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from ..operators import align, units
+from ..operators import align, anchor, units
 
 
-def _needles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items with the documents that have their first three words in a row: blocked by an equi-join on words."""
-    first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.size(F.split("text", " ")) >= 3).select("item_id", F.substring("text", 1, 80).alias("a"), first.alias("gram"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text", F.split("text", " ").alias("w"))
-    three = F.arrays_zip("w", F.slice(F.col("w"), 2, F.size("w")).alias("x"), F.slice(F.col("w"), 3, F.size("w")).alias("y"))
-    grams = docs.where(F.size("w") >= 3).select("doc_id", "text", F.explode(F.array_distinct(F.transform(three, lambda t: F.concat_ws(" ", t["w"], t["x"], t["y"])))).alias("gram"))
-    hits = grams.select("doc_id", "gram").join(items, "gram").join(docs.select("doc_id", "text"), "doc_id")
-    place = F.call_function("locate", F.concat(F.lit(" "), F.col("gram"), F.lit(" ")), F.concat(F.lit(" "), F.col("text"), F.lit(" ")))
-    return hits.select("item_id", "doc_id", "a", F.substr("text", place, F.lit(80)).alias("b"))
+def _starts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple]:
+    """Where benchmark items may start in documents, by their anchors, and the two tables."""
+    items, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("benchmark", "documents"))
+    sides = (items, "item_id", "text", docs, "doc_id", "text")
+    return anchor.candidates(*sides), sides
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole items against windows of as many words at each candidate start."""
+    found, sides = _starts(spark, sf_dir)
+    return anchor.windows(found, *sides)
 
 
 def dice_similarity(spark, sf_dir):
-    """Multiset bigram Dice on the engine's own functions: for each bigram the smaller of its two counts."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2)))
-    rows = _needles(spark, sf_dir).where("length(a) > 1 and length(b) > 1").withColumns({"x": grams(F.col("a")), "y": grams(F.col("b"))})
-    times = lambda c, g: F.size(F.filter(c, lambda h: h == g))
-    same = F.aggregate(F.array_distinct("x"), F.lit(0), lambda n, g: n + F.least(times(F.col("x"), g), times(F.col("y"), g)))
-    scored = rows.withColumn("d", 2 * same / (F.length("a") + F.length("b") - 2))
-    return scored.select("item_id", "doc_id", (F.floor(F.col("d") * 1000 + 0.5) / 1000).alias("dice"))
+    """Multiset bigram Dice: for each bigram the smaller of its two counts."""
+    rows = _scored(spark, sf_dir).where("length(a) > 1 and length(b) > 1")
+    return rows.select("item_id", "doc_id", "start", (F.floor(sim.dice_similarity("a", "b") * 1000 + 0.5) / 1000).alias("dice"))
 
 
 def lcs_similarity(spark, sf_dir):
-    return _needles(spark, sf_dir).select("item_id", "doc_id", sim.lcs_similarity("a", "b").alias("lcs"), sim.mixed_similarity("a", "b").alias("similarity"))
+    return _scored(spark, sf_dir).select("item_id", "doc_id", "start", sim.lcs_similarity("a", "b").alias("lcs"), sim.mixed_similarity("a", "b").alias("similarity"))
 
 
 def anchor_candidates(spark, sf_dir):
-    return _needles(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    found, _ = _starts(spark, sf_dir)
+    per_doc = found.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_starts"), F.min("doc_id").alias("first_doc"))
 
 
 def combine_short_units(spark, sf_dir):
@@ -56,13 +55,19 @@ def align_benchmark(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (dice_similarity, lcs_similarity, anchor_candidates, combine_short_units, align_benchmark)}
 
-_NEEDLES = """with i as (select item_id, left(text, 80) as a, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') as g from benchmark where len(string_split(text, ' ')) >= 3),
-p as (select item_id, doc_id, a, substr(text, strpos(' ' || text || ' ', ' ' || g || ' '), 80) as b from i join documents on contains(' ' || text || ' ', ' ' || g || ' '))"""
+_STARTS = r"""with i as (select item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as a from benchmark),
+n as (select item_id, unnest([0, (len(a) - least(3, len(a))) // 2, len(a) - least(3, len(a))]) as o, least(3, len(a)) as g, a from i where len(a) > 0),
+h as (select distinct item_id, o, array_to_string(a[o + 1:o + g], ' ') as gram from n),
+d as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents where text is not null),
+t as (select doc_id, unnest(range(1, len(w) + 1)) as place, unnest(w) as x, unnest(w[2:]) as y, unnest(w[3:]) as z from d),
+m as (select doc_id, place, x || ' ' || y || ' ' || z as gram from t where z is not null union all select doc_id, place, x || ' ' || y from t where y is not null union all select doc_id, place, x from t),
+c as (select distinct item_id, doc_id, greatest(place - o, 1) as pos from m join h using (gram))"""
 ORACLES = {
-    "anchor_candidates": _NEEDLES + " select item_id, count(*) as n_docs, min(doc_id) as first_doc from p group by item_id",
-    "dice_similarity": _NEEDLES + """,
-x as (select item_id, doc_id, g, count(*) as n from (select item_id, doc_id, unnest(list_transform(generate_series(1, length(a) - 1), lambda k: substr(a, k, 2))) as g from p) group by all),
-y as (select item_id, doc_id, g, count(*) as n from (select item_id, doc_id, unnest(list_transform(generate_series(1, length(b) - 1), lambda k: substr(b, k, 2))) as g from p) group by all),
-s as (select item_id, doc_id, sum(least(x.n, y.n)) as same from x join y using (item_id, doc_id, g) group by all)
-select item_id, doc_id, floor(2 * coalesce(same, 0)::double / (length(a) + length(b) - 2) * 1000 + 0.5) / 1000 as dice from p left join s using (item_id, doc_id) where length(a) > 1 and length(b) > 1""",
+    "anchor_candidates": _STARTS + " select item_id, count(distinct doc_id) as n_docs, count(*) as n_starts, min(doc_id) as first_doc from c group by item_id",
+    "dice_similarity": _STARTS + """,
+p as (select item_id, doc_id, pos, array_to_string(i.a, ' ') as a, array_to_string(list_slice(w, pos, pos + len(i.a) - 1), ' ') as b from c join i using (item_id) join d using (doc_id)),
+x as (select item_id, doc_id, pos, g, count(*) as n from (select item_id, doc_id, pos, unnest(list_transform(generate_series(1, length(a) - 1), lambda k: substr(a, k, 2))) as g from p) group by all),
+y as (select item_id, doc_id, pos, g, count(*) as n from (select item_id, doc_id, pos, unnest(list_transform(generate_series(1, length(b) - 1), lambda k: substr(b, k, 2))) as g from p) group by all),
+s as (select item_id, doc_id, pos, sum(least(x.n, y.n)) as same from x join y using (item_id, doc_id, pos, g) group by all)
+select item_id, doc_id, pos as start, floor(2 * coalesce(same, 0)::double / (length(a) + length(b) - 2) * 1000 + 0.5) / 1000 as dice from p left join s using (item_id, doc_id, pos) where length(a) > 1 and length(b) > 1""",
 }

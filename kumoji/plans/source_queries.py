@@ -78,7 +78,7 @@ def cues_in_gap(spark, sf_dir):
 def prev_next_context(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     out = timeline.context(c.select("conv_id", "turn", "text"), "conv_id", "turn", "text")
-    return out.select("conv_id", "turn", F.substring("previous", 1, 40).alias("previous"), F.length("following").cast("bigint").alias("n_following"))
+    return out.select("conv_id", "turn", "previous", F.length("following").cast("bigint").alias("n_following"))
 
 
 def monotonic_violations(spark, sf_dir):
@@ -111,7 +111,7 @@ def missing_in_range(spark, sf_dir):
 
 def _manifest(spark, sf_dir):
     docs, labels, conv = (_t(spark, sf_dir, n) for n in ("documents", "labels", "conversations"))
-    videos = docs.select(F.floor(F.col("doc_id") / 2).alias("episode"), F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id"), F.col("n_chars").cast("string").alias("published_at")).where("episode % 7 <> 0")
+    videos = docs.select(F.floor(F.col("doc_id") / 2).alias("episode"), F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id"), F.col("n_chars").cast("string").alias("published_at"))
     scripts = labels.select((F.col("doc_id") * 2).alias("episode"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("published_at"), F.lit(None).cast("string").alias("modified_at"), F.lit(None).cast("string").alias("lastmod"))
     states = conv.groupBy(F.col("conv_id").alias("episode")).agg(F.concat(F.lit("v"), (F.first("conv_id") * 2).cast("string")).alias("video_id"), F.lit(True).alias("valid"), F.count_if(F.col("role") == "system").alias("low_confidence"))
     return m.manifest(videos, m.canonical_scripts(scripts), states)
@@ -198,7 +198,7 @@ _VISIBLE = r"""array_to_string(list_filter(list_transform(string_split(
 _AT = "(epoch_us(ts) / 1000000.0)"
 _SEC = f"cast({_AT} as double)"
 _MANIFEST = """
-with v as (select doc_id // 2 as episode, 'v' || doc_id as video_id, cast(n_chars as varchar) as p from documents where (doc_id // 2) % 7 <> 0),
+with v as (select doc_id // 2 as episode, 'v' || doc_id as video_id, cast(n_chars as varchar) as p from documents),
 bv as (select episode, video_id, count(*) over (partition by episode) as vc, row_number() over (partition by episode order by p desc, video_id) as r from v),
 sc as (select doc_id * 2 as episode, min('s' || doc_id) as script_url, count(*) as sc from labels group by doc_id),
 st as (select conv_id as episode, 'v' || conv_id * 2 as a_video, count(*) filter (where role = 'system') as low from conversations group by conv_id),
@@ -221,7 +221,7 @@ ORACLES = {
     "caption_characters": r"with c as (select conv_id as episode, turn as cue, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]')) as n, turn * 8.0::double as s from conversations where text is not null) select episode, cue, cast(n as bigint) as n, floor((s + n * greatest(6.0::double / n, 0.05::double)) * 1000 + 0.5) / 1000 as last_end from c where n > 0",
     "active_caption_asof": "with r as (select user_id, ts, max(event_id) as event_id from events where event_type <> 'click' group by user_id, ts) select p.event_id as probe_id, r.event_id from (select * from events where event_type = 'click') p asof left join r on p.user_id = r.user_id and p.ts >= r.ts",
     "cues_in_gap": f"with e as (select *, {_SEC} as at from events) select g.event_id as gap_id, count(*) as n, min(c.event_id) as first_event from (select * from e where event_type = 'click') g join (select * from e where event_type <> 'click') c on g.user_id = c.user_id and g.at - 5 <= c.at + 2 and c.at <= g.at + 3600 group by 1",
-    "prev_next_context": "with c as (select conv_id, turn, coalesce(text, '') as t, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn) as u from conversations) select a.conv_id, a.turn, substr(lag(t) over (partition by a.conv_id order by a.turn), 1, 40) as previous, cast(coalesce((select sum(length(b.t)) + count(*) - 1 from c b where b.conv_id = a.conv_id and b.turn > a.turn and b.u - length(b.t) - a.u < 80), 0) as bigint) as n_following from c a",
+    "prev_next_context": "with c as (select conv_id, turn, coalesce(text, '') as t, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn) as u from conversations) select a.conv_id, a.turn, lag(t) over (partition by a.conv_id order by a.turn) as previous, cast(coalesce((select sum(length(b.t)) + count(*) - 1 from c b where b.conv_id = a.conv_id and b.turn > a.turn and b.u - length(b.t) - a.u < 80), 0) as bigint) as n_following from c a",
     "monotonic_violations": f"select user_id, event_id, p as previous_end from (select user_id, event_id, {_SEC} as s, lag({_SEC} + value) over (partition by user_id order by ts, event_id) as p from events) where s < p - 0.01",
     "contiguity_check": "select conv_id, n, b as last_turn from (select conv_id, count(*) as n, count(distinct turn) as d, min(turn) as a, max(turn) as b from conversations group by conv_id) where not (n = d and a = 0 and b = n - 1)",
     "interpolated_gap": """with e as (select event_id, user_id, case when event_id % 5 = 0 then cast(event_id as double) end as k, row_number() over (partition by user_id order by event_id) as w from events),

@@ -2,7 +2,7 @@
 
 import random
 
-from kumoji.operators import align, timeline
+from kumoji.operators import align, anchor, timeline
 
 
 def test_context_reaches_over_any_number_of_blank_rows(spark):
@@ -26,3 +26,29 @@ def test_cue_anchor_looks_at_every_occurrence():
     cues = [(float(k), k + 0.9, "abyy") for k in range(60)] + [(60.0, 60.9, "abxd")]  # only "ab" is shared
     found = align.cue_anchor(align.Unit(0, 0, "abcd", "abcd"), align.lattice(cues), 0.0, 100.0)
     assert found[0] == 60.0
+
+
+def test_anchor_candidates_hold_every_occurrence_in_whole_texts(spark):
+    rng = random.Random(5)
+    draw = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    needles = [(i, t) for i, t in enumerate([None, "", " \n ", "a", "b c", "a b c", *(draw(n) for n in range(4, 14))])]
+    texts = [(i, t) for i, t in enumerate([None, "", "a", "c b", "x\n\ta  b c ", *(draw(n) for n in (3, 9, 40, 400)), "q " * 30_000 + "a b c"])]
+    frames = spark.createDataFrame(needles, "item int, t string"), spark.createDataFrame(texts, "doc int, t string")
+    sides = (frames[0], "item", "t", frames[1], "doc", "t")
+    found = anchor.candidates(*sides)
+    want = set()
+    for item, t in needles:
+        a = (t or "").split()
+        g = min(3, len(a))
+        for o in {0, (len(a) - g) // 2, len(a) - g} if a else ():
+            for doc, u in texts:
+                b = (u or "").split()
+                want |= {(item, doc, max(p - o, 0) + 1) for p in range(len(b) - g + 1) if b[p : p + g] == a[o : o + g]}
+    got = found.collect()
+    assert {(r.item, r.doc, r.start) for r in got} == want and len(got) == len(want)
+    a, b = dict(needles), dict(texts)
+    for r in anchor.windows(found, *sides).collect():
+        own = a[r.item].split()
+        assert r.a == " ".join(own) and r.b == " ".join(b[r.doc].split()[r.start - 1 : r.start - 1 + len(own)])
+    empty = frames[0].where("false")
+    assert anchor.candidates(empty, "item", "t", frames[1], "doc", "t").count() == 0
