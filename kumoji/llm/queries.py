@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cotrain, decontaminate, licenses, quality_lines, ring, simhash, substring, toxicity
+from . import bpe, chat, cotrain, decontaminate, divergence, licenses, quality_lines, ring, simhash, substring, toxicity
 from .common import table, tokenizer_path
 
 
@@ -61,7 +61,11 @@ def op10_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.scores(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
 
 
-ALL = (op1_simhash, op2_ring_shards, op3_decontaminate, op4_chat_format, op5_toxicity, op6_license_scan, op7_line_rules, op8_substring, op9_bpe, op10_cotrained_quality)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ALL = (op1_simhash, op2_ring_shards, op3_decontaminate, op4_chat_format, op5_toxicity, op6_license_scan, op7_line_rules, op8_substring, op9_bpe, op10_cotrained_quality, op11_source_divergence)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
 #: SQL for what SQL can express; the others have brute-force tests in tests/llm.
@@ -95,5 +99,21 @@ word as (select r, p, x from (select r, unnest(generate_series(1, len(w))) as p,
 kept as (select r, string_agg(x, ' ' order by p) as t, count(*) as n from word anti join gone using (r, p) group by r)
 select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from doc left join kept using (r)
+""",
+    "op11_source_divergence": r"""
+with doc as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+word as (select r, lang, source, unnest(w) as term from doc),
+kept as (select lang, term from word group by lang, term having count(distinct r) >= 30),
+cnt as (select lang, source, term, count(*) as n from word join kept using (lang, term) group by lang, source, term),
+grp as (select lang, source, coalesce(sum(n), 0)::hugeint as total from (select distinct lang, source from doc) left join cnt using (lang, source) group by lang, source),
+voc as (select lang, count(*)::hugeint as v from kept group by lang),
+full_ as (select lang, source, term, coalesce(n, 0) as n, 1 + 1000000000::hugeint * (coalesce(n, 0) + 5) // (total + 5 * v) as p from grp join voc using (lang) join kept using (lang) left join cnt using (lang, source, term)),
+lng as (select lang, sum(total) as total from grp group by lang),
+q as (select lang, term, 1 + 1000000000::hugeint * (sum(n) + 5) // (any_value(total) + 5 * any_value(v)) as q from cnt join lng using (lang) join voc using (lang) group by lang, term),
+pair as (select a.lang, a.source, b.source as item, coalesce(f, 0) as f from grp a join grp b on a.lang = b.lang and a.source <> b.source left join
+  (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as f from full_ x join full_ y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by x.lang, x.source, y.source) s on a.lang = s.lang and a.source = s.source and b.source = s.item),
+ranked as (select lang, source, 'pair' as part, item, f, row_number() over (partition by lang, source order by f desc, item) as rank from pair
+  union all select * from (select lang, source, 'term', term, p - q, row_number() over (partition by lang, source order by p - q desc, term) as rank from full_ join q using (lang, term) where n > 0 and p > q) where rank <= 50)
+select lang, source, part, item, cast(f as bigint) as value, cast(rank as int) as rank from ranked
 """,
 }
