@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cotrain, decontaminate, divergence, licenses, quality_lines, ring, simhash, substring, toxicity, variants
+from . import bpe, chat, cotrain, decontaminate, divergence, licenses, multiindex, quality_lines, ring, simhash, substring, toxicity, variants
 from .common import table, tokenizer_path
 
 
@@ -69,7 +69,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_simhash, op2_ring_shards, op3_decontaminate, op4_chat_format, op5_toxicity, op6_license_scan, op7_line_rules, op8_substring, op9_bpe, op10_cotrained_quality, op11_source_divergence, op12_spelling_variants)
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ALL = (op1_simhash, op2_ring_shards, op3_decontaminate, op4_chat_format, op5_toxicity, op6_license_scan, op7_line_rules, op8_substring, op9_bpe, op10_cotrained_quality, op11_source_divergence, op12_spelling_variants, op13_near_vectors)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
 #: SQL for what SQL can express; the others have brute-force tests in tests/llm.
