@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import ids
 from .functions.text import normalized_query
-from .operators import align, corpus, manifest, search, units, validate
-from .sources import landed
+from .operators import corpus, manifest, process, search, validate
+from .sources import landed, tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,101 +24,146 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f)
         return p
 
-    job("list-videos", "--playlist")
+    def processing(p: argparse.ArgumentParser, latest: bool = True) -> None:
+        if latest:
+            p.add_argument("--count", type=int, default=10)
+            p.add_argument("--retry-failed", action="store_true")
+        p.add_argument("--force", action="store_true")
+        p.add_argument("--prefer-asr", action="store_true")
+        p.add_argument("--overrides")
+
+    job("list-videos", "--playlist", "--overrides")
     job("discover-scripts", "--pages")
-    job("build-manifest")
-    job("rebuild-index")
-    job("process-latest").add_argument("--count", type=int, default=10)
-    job("validate")
+    job("build-manifest", "--overrides")
+    job("rebuild-index").add_argument("--allow-empty", action="store_true")
+    processing(job("process-latest"))
+    one = job("process-episode")
+    one.add_argument("--episode", type=int, required=True)
+    processing(one, latest=False)
+    job("validate").add_argument("--no-report", action="store_true")
     s = job("search")
     s.add_argument("query")
     s.add_argument("--mode", choices=("auto", "lemma", "surface", "exact", "loose"), default="auto")
     s.add_argument("--limit", type=int, default=20)
-    job("update", "--playlist", "--pages").add_argument("--count", type=int, default=10)
+    u = job("update", "--playlist", "--pages")
+    processing(u)
+    u.add_argument("--allow-empty", action="store_true")
     return top
 
 
-def list_videos(spark: SparkSession, data: str, playlist: str) -> None:
-    landed.write_stable(landed.videos(landed.playlist(spark, playlist)), f"{data}/videos")
+def _overrides(spark: SparkSession, path: str | None) -> dict:
+    return landed.overrides(spark, path) if path else {}
+
+
+def list_videos(spark: SparkSession, data: str, playlist: str, overrides: str | None = None) -> None:
+    tables.write_stable(landed.videos(landed.playlist(spark, playlist), _overrides(spark, overrides).get("videos")), f"{data}/videos")
 
 
 def discover_scripts(spark: SparkSession, data: str, pages: str) -> None:
-    landed.write_stable(landed.script_pages(spark.read.parquet(pages), hooks=True), f"{data}/scripts")
-
-
-def build_manifest(spark: SparkSession, data: str) -> None:
-    scripts = spark.read.parquet(f"{data}/scripts").where("status = 'parsed'").withColumn("lastmod", F.lit(None).cast("string"))
-    try:
-        states = spark.read.parquet(f"{data}/alignments").groupBy("episode").agg(F.first("video_id").alias("video_id"), F.lit(True).alias("valid"), F.count_if("confidence < 0.68").alias("low_confidence"))
-    except Exception as e:  # nothing is aligned yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        states = spark.createDataFrame([], "episode bigint, video_id string, valid boolean, low_confidence bigint")
-    landed.write_stable(manifest.manifest(spark.read.parquet(f"{data}/videos"), manifest.canonical_scripts(scripts), states), f"{data}/manifest")
-
-
-def process_latest(spark: SparkSession, data: str, count: int) -> None:
-    """Align the newest episodes that have captions: all in one stage, an episode a group."""
-    chosen = manifest.latest(spark.read.parquet(f"{data}/manifest"), count)
-    scripts = spark.read.parquet(f"{data}/scripts").join(chosen.select("episode", F.col("script_url").alias("url")), ["episode", "url"])
-    cues = landed.caption_cues(spark.read.parquet(f"{data}/captions").join(chosen.select("episode"), "episode"))
-    found = align.aligned(units.script_units(scripts), cues).where("issue is null")
-    done = found.join(chosen.select("episode", "video_id"), "episode")
-    try:
-        old = spark.read.parquet(f"{data}/alignments")
-        done = old.join(done.select("episode").distinct(), "episode", "left_anti").unionByName(done)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    landed.write_stable(done, f"{data}/alignments", ())
-
-
-def rebuild_index(spark: SparkSession, data: str) -> None:
-    from .functions import ids
-
-    rows = spark.read.parquet(f"{data}/alignments")
-    segs = rows.select(
-        ids.segment_id(F.col("episode"), F.col("local_index")).alias("segment_id"), ids.segment_key(F.col("episode"), F.col("local_index")).alias("segment_key"), "episode", "local_index", "text", "start", "end", "video_id"
+    tables.write_stable(landed.script_pages(spark.read.parquet(pages), hooks=True), f"{data}/scripts")
+
+
+def build_manifest(spark: SparkSession, data: str, overrides: str | None = None) -> None:
+    """Overrides decide episodes and preferred scripts; an alignment that breaks a rule is invalid."""
+    wanted, store = _overrides(spark, overrides), process.Store(spark, data)
+    scripts, videos = tables.read(spark, f"{data}/scripts").where("status = 'parsed'").withColumn("lastmod", F.lit(None).cast("string")), tables.read(spark, f"{data}/videos")
+    if "scripts" in wanted:
+        scripts = manifest.with_overrides(scripts, wanted["scripts"], "url").drop("original_episode")
+    state = store.sources()
+    bad = validate.alignment_report(store.segments(), state, store.reviews(), videos.join(state.select("video_id", F.col("episode").alias("of")), "video_id").select(F.col("of").alias("episode"), "duration"))
+    unsound = bad.where(~F.col("path").startswith("review")).select("episode").distinct().withColumn("unsound", F.lit(True))
+    states = state.join(unsound, "episode", "left").select("episode", "video_id", F.col("unsound").isNull().alias("valid"), (F.col("low_count") + F.col("unmatched_count")).alias("low_confidence"))
+    tables.write_stable(manifest.manifest(videos, manifest.canonical_scripts(scripts, wanted.get("preferred")), states), f"{data}/manifest")
+
+
+def _sources(spark: SparkSession, data: str, wanted: DataFrame, overrides: str | None, prefer_asr: bool) -> DataFrame:
+    scripts = tables.read(spark, f"{data}/scripts").where("status = 'parsed'")
+    by_url = _overrides(spark, overrides).get("scripts")
+    if by_url is not None:
+        scripts = manifest.with_overrides(scripts, by_url, "url")
+
+    def landing(name: str, form: str) -> DataFrame:
+        return spark.read.parquet(f"{data}/{name}") if tables.there(spark, f"{data}/{name}") else spark.createDataFrame([], form)
+
+    captions, transcripts = landing("captions", "episode bigint, json string"), landing("transcripts", "episode bigint, stdout string")
+    return process.resolved(wanted, tables.read(spark, f"{data}/manifest"), tables.read(spark, f"{data}/videos"), scripts, captions, transcripts, _overrides(spark, overrides).get("asr"), prefer_asr)
+
+
+def process_latest(spark: SparkSession, data: str, count: int, retry_failed: bool = False, force: bool = False, prefer_asr: bool = False, overrides: str | None = None) -> DataFrame:
+    """Bring the newest episodes up to date: all in one stage, an episode a group."""
+    if count <= 0:
+        raise ValueError(f"count must be a positive whole number: {count}")
+    chosen = manifest.latest(tables.read(spark, f"{data}/manifest"), count, retry_failed)
+    return process.run(spark, data, _sources(spark, data, chosen, overrides, prefer_asr), force=force)
+
+
+def process_episode(spark: SparkSession, data: str, episode: int, force: bool = False, prefer_asr: bool = False, overrides: str | None = None) -> DataFrame:
+    wanted = spark.createDataFrame([(episode,)], "episode bigint")
+    return process.run(spark, data, _sources(spark, data, wanted, overrides, prefer_asr), force=force)
+
+
+def show(rows: DataFrame) -> None:
+    for r in rows.orderBy("episode").collect():  # a run's episodes
+        counts = f"{r.segment_count} segments, {r.unmatched_count} unmatched, {r.low_count} low" if r.status != "failed" else r.message
+        print(f"{r.episode_key} {'skipped, ' if r.skipped else ''}{r.status}: {counts}")
+
+
+def rebuild_index(spark: SparkSession, data: str, allow_empty: bool = False) -> None:
+    """A new version of the index of all stored segments, with their videos' titles."""
+    rows = process.Store(spark, data).segments()
+    if not allow_empty and not rows.take(1):
+        raise ValueError("nothing is aligned; --allow-empty makes an empty index")
+    titles = tables.read(spark, f"{data}/videos", "video_id string, title string, published_at string").select("video_id", "title", "published_at").dropDuplicates(["video_id"])
+    segs = rows.join(titles, "video_id", "left").select(
+        ids.segment_id(F.col("episode"), F.col("local_index")).alias("segment_id"), ids.segment_key(F.col("episode"), F.col("local_index")).alias("segment_key"), "episode", "local_index", "text", "start", "end", "video_id", "title", "published_at",
     )
-    corpus.write_index(segs, f"{data}/index")
+    tables.publish(spark, f"{data}/index", lambda folder: corpus.write_index(segs, folder))
 
 
 def run_search(spark: SparkSession, data: str, query: str, mode: str, limit: int) -> None:
-    index = corpus.Index(spark, f"{data}/index")
+    index = corpus.Index(spark, tables.current(spark, f"{data}/index"))
     page = {"auto": search.auto, "lemma": search.lemma, "surface": search.surface, "exact": search.exact, "loose": search.loose}[mode](index, query, limit)
     lead = 1.0 if mode in ("exact", "loose") else 0.0
     total, rows = page.total(), page.rows()
-    shown = search.hydrated(rows, index.segments_of(rows, page.limit), lead).orderBy("segment_id").select("episode", "timestamp", "url", "text").collect()  # a page
+    shown = search.hydrated(rows, index.segments_of(rows, page.limit), lead).orderBy("segment_id").select("episode", "title", "timestamp", "url", "text").collect()  # a page
     print(f"Search: {normalized_query(query)} ({', '.join(page.searched())}, {total} result{'' if total == 1 else 's'}, showing {len(shown)})")
     for k, r in enumerate(shown, 1):
-        print(f"\n{k}. ep.{r.episode} {r.timestamp}\n   {r.text}\n   {r.url}")
+        print(f"\n{k}. ep.{r.episode}{f' {r.title}' if r.title else ''} {r.timestamp}\n   {r.text}\n   {r.url}")
 
 
-def run_validate(spark: SparkSession, data: str) -> None:
-    from .functions import ids
-
-    rows = spark.read.parquet(f"{data}/alignments")
-    segs = rows.withColumn("segment_id", ids.segment_id(F.col("episode"), F.col("local_index"))).withColumn("segment_key", ids.segment_key(F.col("episode"), F.col("local_index")))
-    validate.require(validate.segment_violations(segs))
+def run_validate(spark: SparkSession, data: str, need_review: bool = True) -> None:
+    """Raise with everything that is wrong with what is stored."""
+    store = process.Store(spark, data)
+    videos = tables.read(spark, f"{data}/videos", "video_id string, duration double").select("video_id", "duration").dropDuplicates(["video_id"])
+    durations = store.sources().select("episode", "video_id").join(videos, "video_id").select("episode", "duration")
+    validate.require(validate.alignment_report(store.segments(), store.sources(), store.reviews(), durations, need_review))
 
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"kumoji {a.job}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    data = a.data_dir
     if a.job in ("list-videos", "update") and a.playlist:
-        list_videos(spark, a.data_dir, a.playlist)
+        list_videos(spark, data, a.playlist, a.overrides)
     if a.job in ("discover-scripts", "update") and a.pages:
-        discover_scripts(spark, a.data_dir, a.pages)
+        discover_scripts(spark, data, a.pages)
     if a.job in ("build-manifest", "update"):
-        build_manifest(spark, a.data_dir)
+        build_manifest(spark, data, a.overrides)
     if a.job in ("process-latest", "update"):
-        process_latest(spark, a.data_dir, a.count)
+        show(process_latest(spark, data, a.count, a.retry_failed, a.force, a.prefer_asr, a.overrides))
+    if a.job == "process-episode":
+        show(process_episode(spark, data, a.episode, a.force, a.prefer_asr, a.overrides))
+    if a.job == "update":  # with the new alignments
+        build_manifest(spark, data, a.overrides)
+    if a.job in ("build-manifest", "update"):
+        for r in tables.read(spark, f"{data}/manifest").groupBy("status").count().orderBy("status").collect():  # a handful of statuses
+            print(f"{r['status']}: {r['count']}")
     if a.job in ("rebuild-index", "update"):
-        rebuild_index(spark, a.data_dir)
+        rebuild_index(spark, data, a.allow_empty)
     if a.job == "search":
-        run_search(spark, a.data_dir, a.query, a.mode, a.limit)
+        run_search(spark, data, a.query, a.mode, a.limit)
     if a.job == "validate":
-        run_validate(spark, a.data_dir)
+        run_validate(spark, data, not a.no_report)
 
 
 if __name__ == "__main__":

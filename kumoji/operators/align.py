@@ -39,6 +39,7 @@ class Unit:
     block: int
     text: str
     norm: str
+    reading: str = ""  # normalised
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,7 @@ class Candidate:
     length: int
     confidence: float
     score: float
+    by: str = "surface"  # or reading: which lattice the span is of
 
 
 def milli(x: float) -> float:
@@ -83,6 +85,20 @@ def lattice(cues: Iterable[tuple[float, float, str]]) -> Lattice:
     return Lattice("".join(chars), starts, ends, kept)
 
 
+def reading_lattice(cues: Iterable[tuple[float, float, str]]) -> Lattice:
+    """The phonetic twin of a lattice: cues with their readings as text; one without a reading is left out."""
+    chars, starts, ends, kept = [], [], [], []
+    for start, end, reading in cues:
+        own = comparable_text(reading)
+        if not own:
+            continue
+        kept.append((start, end, own)), chars.append(own)
+        each = (max(end, start + 0.05) - start) / len(own)
+        starts += [start + i * each for i in range(len(own))]
+        ends += [start + (i + 1) * each for i in range(len(own))]
+    return Lattice("".join(chars), starts, ends, kept)
+
+
 def _occurrences(text: str, part: str, low: int, high: int) -> Iterable[int]:
     at = text.find(part, low)
     while 0 <= at < high:
@@ -98,9 +114,11 @@ def _window(context: str) -> int:
     return min(220, max(30, math.ceil(1.8 * len(context)) + 24))
 
 
-def best_candidate(unit: Unit, before: str, after: str, lat: Lattice, cursor: int, previous_end: float, matched: bool) -> Candidate | None:
-    """The span of caption text with the highest score; the first one wins ties."""
-    needle, text = unit.norm, lat.text
+def best_candidate(needle: str, before: str, after: str, lat: Lattice, cursor: int, previous_end: float, matched: bool) -> Candidate | None:
+    """The span of a lattice's text with the highest score; the first one wins ties."""
+    text = lat.text
+    if not needle or not text:
+        return None
     low = max(0, cursor - 25)
     high = min(len(text), low + WINDOW + len(needle))
     starts = {at - offset for part, offset in anchors(needle) for at in islice(_occurrences(text, part, low, high), OCCURRENCES)}
@@ -144,6 +162,18 @@ def best_candidate(unit: Unit, before: str, after: str, lat: Lattice, cursor: in
     return best
 
 
+def chosen(surface: Candidate | None, reading: Candidate | None) -> Candidate | None:
+    """The better of the two lattices' candidates; a reading has to be strictly better than the surface."""
+    if reading and (surface is None or reading.score > surface.score):
+        return replace(reading, by="reading")
+    return surface
+
+
+def _cursor(lat: Lattice, previous_end: float) -> int:
+    """The first character that ends after the last match, less a second and a half."""
+    return max(0, min(bisect.bisect_left(lat.ends, max(0.0, previous_end - 1.5)), len(lat.text) - 1))
+
+
 def _timing(c: Candidate, lat: Lattice) -> tuple[float, float]:
     start = lat.starts[c.at]
     return start, max(lat.ends[min(c.at + c.length, len(lat.ends)) - 1], start + SHORTEST)
@@ -282,8 +312,9 @@ def monotonic(drafts: list[Draft]) -> list[Draft]:
     return out
 
 
-def align(units: list[Unit], lat: Lattice) -> tuple[list[Draft], list[tuple[Unit, str]]]:
-    """(drafts in order, units that could not be placed with the reason)."""
+def align(units: list[Unit], lat: Lattice, readings: Lattice | None = None) -> tuple[list[Draft], list[tuple[Unit, str]]]:
+    """(drafts in order, units that could not be placed with the reason). Units are looked for in the captions' text and,
+    if there are readings, in these as well; gaps are filled from the captions' text only."""
     matches: list[Draft] = []
     reasons: dict[int, str] = {}
     rejected: dict[int, tuple[float, float, float]] = {}
@@ -292,20 +323,24 @@ def align(units: list[Unit], lat: Lattice) -> tuple[list[Draft], list[tuple[Unit
         if not lat.text:
             reasons[unit.index] = "empty-caption-lattice"
             continue
-        cursor = min(bisect.bisect_left(lat.ends, max(0.0, previous_end - 1.5)), len(lat.text) - 1)
-        before = units[k - 1].norm if k and units[k - 1].block == unit.block else ""
-        after = ""
+        last = units[k - 1] if k and units[k - 1].block == unit.block else None
+        coming, n = [], 0
         for later in units[k + 1 :]:
-            if later.block != unit.block or len(after) >= 80:
+            if later.block != unit.block or n >= 80:
                 break
-            after += later.norm
-        found = best_candidate(unit, before, after, lat, cursor, previous_end, bool(matches))
+            coming.append(later)
+            n += len(later.norm)
+        rest = (previous_end, bool(matches))
+        found = best_candidate(unit.norm, last.norm if last else "", "".join(u.norm for u in coming), lat, _cursor(lat, previous_end), *rest)
+        if readings and unit.reading:
+            found = chosen(found, best_candidate(unit.reading, last.reading if last else "", "".join(u.reading for u in coming), readings, _cursor(readings, previous_end), *rest))
         if found is None:
             reasons[unit.index] = "no-candidate"
             continue
-        start, end = _timing(found, lat)
+        start, end = _timing(found, readings if found.by == "reading" else lat)
         if found.confidence >= MIN_CONFIDENCE or found.score >= MIN_CONFIDENCE + 0.05:
-            matches.append(Draft(unit, milli(start), milli(end), min(1.0, found.confidence), "caption"))
+            start = milli(max(milli(start), previous_end))
+            matches.append(Draft(unit, start, milli(max(milli(end), start + SHORTEST)), min(1.0, found.confidence), "caption"))
             previous_end = matches[-1].end
         else:
             reasons[unit.index] = "below-threshold"
@@ -340,16 +375,28 @@ SCHEMA = "episode bigint, local_index int, unit_index int, text string, start do
 
 
 def aligned(units: DataFrame, cues: DataFrame) -> DataFrame:
-    """Segments and issues of all episodes: units (episode, unit_index, block, text), cues (episode, start, end, text)."""
+    """Segments and issues of all episodes: units (episode, unit_index, block, text), cues (episode, start, end, text).
+
+    If both have a column `reading`, the phonetic lattice is searched too. An episode that fails is one row with the
+    issue "failed" and what went wrong as its text; the others are not touched by it.
+    """
+    phonetic = "reading" in units.columns and "reading" in cues.columns
+    names = [part.split()[0] for part in SCHEMA.split(", ")]
+
+    def rows_of(episode: int, u: pd.DataFrame, c: pd.DataFrame) -> list[tuple]:
+        c = c.sort_values(["start", "end"])
+        own = [Unit(int(r.unit_index), int(r.block), r.text or "", comparable_text(r.text or ""), comparable_text(r.reading or "") if phonetic else "") for r in u.sort_values("unit_index").itertuples()]
+        lat = lattice((float(r.start), float(r.end), r.text or "") for r in c.itertuples())
+        readings = reading_lattice((float(r.start), float(r.end), r.reading or "") for r in c.itertuples()) if phonetic else None
+        drafts, issues = align([x for x in own if x.norm], lat, readings)
+        out = [(episode, i, d.unit.index, d.unit.text, d.start, d.end, milli(d.confidence), d.source, None) for i, d in enumerate(drafts)]
+        return out + [(episode, None, x.index, x.text, None, None, None, None, why) for x, why in issues]
 
     def one(key: tuple, u: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        rows = [Unit(int(r.unit_index), int(r.block), r.text or "", comparable_text(r.text or "")) for r in u.sort_values("unit_index").itertuples()]
-        lat = lattice((float(r.start), float(r.end), r.text or "") for r in c.sort_values(["start", "end"]).itertuples())
-        drafts, issues = align([x for x in rows if x.norm], lat)
-        out = [(key[0], i, d.unit.index, d.unit.text, d.start, d.end, milli(d.confidence), d.source, None) for i, d in enumerate(drafts)]
-        out += [(key[0], None, x.index, x.text, None, None, None, None, why) for x, why in issues]
-        names = [part.split()[0] for part in SCHEMA.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        return frame.astype({"local_index": "Int32", "unit_index": "Int32"})
+        try:
+            out = rows_of(key[0], u, c)
+        except Exception as e:  # of this episode's data only; it becomes its result
+            out = [(key[0], None, None, f"{type(e).__name__}: {e}", None, None, None, None, "failed")]
+        return pd.DataFrame(out, columns=names).astype({"local_index": "Int32", "unit_index": "Int32", "start": "float64", "end": "float64", "confidence": "float64"})
 
     return units.groupBy("episode").cogroup(cues.groupBy("episode")).applyInPandas(one, SCHEMA)

@@ -57,6 +57,12 @@ def dictionary_tokenizer(entries: dict[str, tuple[str, list[str], str | None]])
     return split
 
 
+def reading(column: Column, tokenizer: Tokenizer) -> Column:
+    """The readings of a text's tokens, one after the other; a token without one stands for itself."""
+    known = lambda t: F.when(F.length(t["reading"]) > 0, F.when(t["reading"] != "*", t["reading"]))
+    return F.array_join(F.transform(F.filter(tokenizer(column), lambda t: F.length(F.trim(t["surface"])) > 0), lambda t: F.coalesce(known(t), t["surface"])), "")
+
+
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terminators: str = text.TERMINATORS + ".") -> DataFrame:
     """(segment_id, segment_key, episode, local_index, text): a segment per sentence; episodes are doc ids plus one."""
     rows = docs.where(F.col(text_col).isNotNull()).select((F.col(id_col) + 1).cast("bigint").alias("episode"), F.posexplode(text.sentences(F.col(text_col), terminators)).alias("local_index", "text"))

@@ -78,7 +78,7 @@ def cues_in_gap(spark, sf_dir):
 def prev_next_context(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     out = timeline.context(c.select("conv_id", "turn", "text"), "conv_id", "turn", "text")
-    return out.select("conv_id", "turn", "previous", F.length("following").cast("bigint").alias("n_following"))
+    return out.select("conv_id", "turn", "previous", "n_following")
 
 
 def monotonic_violations(spark, sf_dir):

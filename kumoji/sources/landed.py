@@ -109,15 +109,33 @@ def caption_cues(captions: DataFrame, key: str = "episode", column: str = "json"
     return rows.where(F.length(F.trim("text")) > 0)
 
 
-def transcript_cues(transcripts: DataFrame, key: str = "episode", column: str = "stdout") -> DataFrame:
-    """Cues of a recogniser's noisy output: the whole text, or the last line that is an object."""
+def _transcript(column: str) -> Column:
+    """A recogniser's document within its noisy output: the whole text, or the last line that is an object."""
     lines = F.filter(F.split(F.trim(column), "\n"), lambda s: F.trim(s).rlike(r"^\{.*\}$"))
     payload = F.when(F.trim(column).rlike(r"(?s)^\{.*\}$") & F.from_json(F.trim(column), TRANSCRIPT)["segments"].isNotNull(), F.trim(column)).otherwise(F.try_element_at(lines, F.lit(-1)))
-    found = transcripts.withColumn("doc", F.from_json(payload, TRANSCRIPT))
+    return F.from_json(payload, TRANSCRIPT)
+
+
+def _bad_segment(s: Column) -> Column:
+    return (s["end"] <= s["start"]) | (F.length(F.trim(s["text"])) == 0)
+
+
+def transcript_fault(column: str = "stdout") -> Column:
+    """Why transcript_cues would raise; null if it would not."""
+    segments = _transcript(column)["segments"]
+    return F.when(segments.isNull(), "no transcript").when(F.exists(segments, _bad_segment), "bad segment")
+
+
+def transcript_model(column: str = "stdout") -> Column:
+    return _transcript(column)["model"]
+
+
+def transcript_cues(transcripts: DataFrame, key: str = "episode", column: str = "stdout") -> DataFrame:
+    """Cues of a recogniser's noisy output; one that can't be read, or a segment without text or length, is an error."""
+    found = transcripts.withColumn("doc", _transcript(column))
     checked = F.when(F.col("doc.segments").isNotNull(), F.col("doc.segments")).otherwise(F.raise_error(F.lit("no transcript")).cast("array<struct<start:double,end:double,text:string>>"))
     rows = found.select(key, F.posexplode(checked).alias("cue", "s"))
-    bad = (F.col("s.end") <= F.col("s.start")) | (F.length(F.trim("s.text")) == 0)
-    return rows.select(key, "cue", F.when(bad, F.raise_error(F.lit("bad segment")).cast("string")).otherwise(F.col("s.text")).alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return rows.select(key, "cue", F.when(_bad_segment(F.col("s")), F.raise_error(F.lit("bad segment")).cast("string")).otherwise(F.col("s.text")).alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 def caption_characters(cues: DataFrame, key: str = "episode", least: float = 0.05) -> DataFrame:
@@ -147,36 +165,3 @@ def overrides(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "preferred": by_episode.select(bad(number.cast("string") == F.col("key"), "bad episode", number).cast("int").alias("episode"), "url"),
         "asr": raw.select(F.explode(F.array_sort(F.array_distinct("preferredAsrEpisodes"))).alias("episode")),
     }
-
-
-# ---- Sinks -----------------------------------------------------------------------------------------------------------
-
-
-def same_rows(a: DataFrame, b: DataFrame, without: tuple[str, ...] = ()) -> bool:
-    """Whether two tables hold the same rows, by count and by a sum of row hashes."""
-
-    def state(df: DataFrame):
-        columns = sorted(c for c in df.columns if c not in without)
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
-
-    return sorted(a.columns) == sorted(b.columns) and state(a) == state(b)
-
-
-def write_stable(df: DataFrame, path: str, without: tuple[str, ...] = ("generated_at",)) -> bool:
-    """Write Parquet unless the table there has the same rows but for the named columns; True if it wrote."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        if same_rows(df, df.sparkSession.read.parquet(path), without):
-            return False
-    except AnalysisException:  # nothing there yet
-        pass
-    staged = f"{path}.next"
-    df.write.mode("overwrite").parquet(staged)  # what is read may be what is replaced
-    df.sparkSession.read.parquet(staged).write.mode("overwrite").parquet(path)
-    return True
-
-
-def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with new's rows in place of those with the same key."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..sources import landed
+from ..sources import tables
 
 SCRIPTS = "episode int, title string, url string, published_at string, lastmod string, text string"
 
@@ -22,15 +22,9 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str):
 
     def merge(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("episode").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "episode"]), F.coalesce("lastmod", F.lit(""))).alias("r")).select("episode", "r.*")
-        try:
-            old = spark.read.parquet(target)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            newest.write.parquet(target)
-            return
+        old = tables.read(spark, target, f"{SCRIPTS}, script_hash string")
         fresh = newest.join(old.select("episode", "script_hash"), ["episode", "script_hash"], "left_anti")
-        landed.write_stable(landed.upserted(old, fresh, "episode"), target, ())
+        tables.write_stable(tables.upserted(old, fresh, "episode"), target, ())
 
     return scripts(spark, source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kumoji.functions import ids, text
 from kumoji.functions import similarity as sim
 from kumoji.operators import align, corpus, deinflect, highlight, manifest, search, timeline, units, validate
-from kumoji.sources import landed
+from kumoji.sources import landed, tables
 
 WORDS = {
     "昨日": ("昨日", ["名詞"], "キノウ"), "パン": ("パン", ["名詞"], "パン"), "を": ("を", ["助詞"], "ヲ"), "食べ": ("食べる", ["動詞"], "タベ"), "まし": ("ます", ["助動詞"], "マシ"), "た": ("た", ["助動詞"], "タ"),
@@ -139,8 +139,8 @@ def test_videos_and_pages(spark, tmp_path):
 def test_stable_writes(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 5)], "k int, v string, generated_at int")
     path = str(tmp_path / "t")
-    assert landed.write_stable(df, path) and not landed.write_stable(df.withColumn("generated_at", F.lit(6)), path) and landed.write_stable(df.withColumn("v", F.lit("b")), path)
-    assert landed.upserted(df, df.withColumn("v", F.lit("z")), "k").first().v == "z"
+    assert tables.write_stable(df, path) and not tables.write_stable(df.withColumn("generated_at", F.lit(6)), path) and tables.write_stable(df.withColumn("v", F.lit("b")), path)
+    assert tables.upserted(df, df.withColumn("v", F.lit("z")), "k").first().v == "z"
 
 
 def test_manifest(spark):
@@ -211,7 +211,7 @@ def test_streaming(spark, tmp_path):
     (source / "1.json").write_text(json.dumps(row))
     for n in (1, 2):
         ingest.ingest(spark, str(source), target, str(tmp_path / "check")).awaitTermination()
-        assert spark.read.parquet(target).count() == n
+        assert tables.read(spark, target).count() == n
         (source / "2.json").write_text(json.dumps(row | {"episode": 2}))
 
 
