@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +92,53 @@ def in_slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iter
         yield batch.slice(start)
 
 
+#: Bits of a filter for each key, and at most: 64 MB, whatever the number of keys.
+FILTER_BITS, FILTER_MOST, FILTER_PARTS, FILTER_HASHES = 12, 1 << 29, 64, 4
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A row of FILTER_HASHES places within one part of a filter for each key."""
+    x = keys.view(np.uint64)
+    step = (x >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    return ((x[:, None] + np.arange(1, FILTER_HASHES + 1, dtype=np.uint64) * step[:, None]) >> np.uint64(20)) % np.uint64(bits // FILTER_PARTS)
+
+
+def maybe_in(keys: DataFrame, count: int) -> Callable[[F.Column], F.Column]:
+    """A test for a column of hashes that is true for all of keys' (one column of hashes), and for few others.
+
+    A Bloom filter of at most 64 MB: with more keys than it has room for, more others pass, and none is lost. Its parts are
+    made on the executors, one a task, and are all that comes to the driver.
+    """
+    bits = max(1 << 16, min(FILTER_MOST, 1 << (FILTER_BITS * max(1, count) - 1).bit_length()))
+    name = keys.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = batch.column("k").to_numpy()
+            part = (own.view(np.uint64) % np.uint64(FILTER_PARTS)).astype(np.int64)
+            for p in np.unique(part).tolist():
+                at = _places(own[part == p], bits).ravel()
+                made.setdefault(p, np.zeros(bits // FILTER_PARTS, bool))[at] = True
+        for p, part in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], ["p", "bits"])
+
+    parts = keys.select(F.col(name).alias("k")).withColumn("p", F.pmod("k", F.lit(FILTER_PARTS))).repartition("p").select("k").mapInArrow(run, "p int, bits binary")
+    whole = np.zeros(bits // 8, np.uint8)
+    size = bits // FILTER_PARTS // 8
+    for r in parts.collect():
+        whole[r.p * size : (r.p + 1) * size] |= np.frombuffer(bytes(r.bits), np.uint8)
+    sent = keys.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def test(column: pd.Series) -> pd.Series:
+        x, held = column.to_numpy(np.int64), sent.value
+        at = (x.view(np.uint64) % np.uint64(FILTER_PARTS))[:, None] * np.uint64(bits // FILTER_PARTS) + _places(x, bits)
+        return pd.Series(((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1))
+
+    return test
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """A public tokenizer's file: $KUMOJI_TOKENIZER if set, else what the public_tokenizers package has."""
     if path := os.environ.get("KUMOJI_TOKENIZER"):

@@ -32,16 +32,23 @@ def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def classes(fps: np.ndarray, groups: np.ndarray, budget: int, passes: tuple[int, ...] = ()) -> np.ndarray:
+def classes(fps: np.ndarray, groups: np.ndarray, budget: int, passes: tuple[int, ...] = (), found: list | None = None, start: np.ndarray | None = None) -> np.ndarray:
     """For each fingerprint the smallest index it is linked to, by chains of pairs in one group with at most `budget` differing bits.
 
     fps is uint64, with a row of words (most significant first) for each fingerprint if it has more than 64 bits;
     (group, fp) must be sorted and distinct. Small budgets go first, as what they link need not be walked again:
     those of `passes`, by default all.
+
+    found collects (i, j, differing bits) of near pairs, one at least for each two classes that were linked, of the
+    fewest bits that the step saw. With start, labels that are linked already, nothing more is linked and found gets every
+    near pair of different labels.
     """
     fps = fps.reshape(len(fps), -1)
     n, last = fps.shape[0], 64 * fps.shape[1] - 1
     labels = np.arange(n)
+    if start is not None:
+        _, first, inverse = np.unique(start, return_index=True, return_inverse=True)
+        labels = first[inverse]
     if n < 2:
         return labels
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
@@ -65,8 +72,19 @@ def classes(fps: np.ndarray, groups: np.ndarray, budget: int, passes: tuple[int,
             single = (ah - al == 1) & (bh - bl == 1)
             if single.any():
                 i, j = al[single], bl[single]
-                near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int16) <= most
-                labels = merged(labels, i[near], j[near])
+                bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int16)
+                near = bits <= most
+                if found is not None:
+                    near &= labels[i] != labels[j]
+                    order = np.flatnonzero(near)
+                    if start is None:  # the nearest pair of each two classes
+                        order = order[np.argsort(bits[order], kind="stable")]
+                        x, y = labels[i[order]], labels[j[order]]
+                        order = order[np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)[1]]
+                    if len(order):
+                        found.append((i[order], j[order], bits[order]))
+                if start is None:
+                    labels = merged(labels, i[near], j[near])
                 al, ah, bl, bh, err = (x[~single] for x in (al, ah, bl, bh, err))
             if not len(al) or level < 0:
                 continue

@@ -19,14 +19,14 @@ def edited(text, rng, times):
 
 
 def brute_near(rows, similarity=0.8):
-    """(row, what stays of its group), by all pairs of fingerprints."""
+    """(row, what stays of its group), by all pairs of fingerprints and of sets of shingles."""
     fps = [int.from_bytes(widehash.fingerprint(widehash.shingles(t or "", 5)), "big") for _, t in rows]
     budget, label, changed = widehash.budget_for(similarity), list(range(len(rows))), True
     while changed:
         changed = False
         for i, a in enumerate(fps):
             for j, b in enumerate(fps):
-                if label[j] < label[i] and (a ^ b).bit_count() <= budget:
+                if label[j] < label[i] and (a ^ b).bit_count() <= budget and alike(rows[i][1] or "", rows[j][1] or "", similarity):
                     label[i], changed = label[j], True
     best = {}
     for row, k in zip(rows, label, strict=True):
@@ -36,6 +36,11 @@ def brute_near(rows, similarity=0.8):
     return sorted(((row[0], best[k][1]) for row, k in zip(rows, label, strict=True)), key=repr)
 
 
+def alike(a, b, similarity):
+    a, b = (set(widehash.shingles(t, 5).tolist()) for t in (a, b))
+    return len(a & b) >= similarity * len(a | b)
+
+
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
