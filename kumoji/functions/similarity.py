@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
 
 def bigrams(s: str) -> Counter:
@@ -71,6 +72,48 @@ def dice_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([dice(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(StructType().add("lcs", "double").add("similarity", "double"))
+def both_similarities(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The subsequence's share and the mix, with one pass over each pair."""
+    out = []
+    for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
+        part = lcs(x, y)
+        out.append((part, 1.0 if x == y else 0.65 * part + 0.35 * dice(x, y)))
+    return pd.DataFrame(out, columns=["lcs", "similarity"])
+
+
+def span_lengths(n: int, rest: int) -> list[int]:
+    """The lengths of text that are tried for a needle of n characters where `rest` are left: about half to double, in steps that grow with it, and n."""
+    step = 1 if n < 18 else 2 if n < 50 else 4
+    least, most = max(3, math.floor(0.55 * n)), min(rest, math.ceil(1.75 * n) + 18)
+    return sorted({*range(least, most + 1, step), *([n] if n <= rest else [])})
+
+
+def best_span(needle: str, text: str, starts: list[int]) -> tuple[int, int, float] | None:
+    """(start, length, similarity) of the most similar span at one of the starts; the first start and the shortest length win ties."""
+    best, n = None, len(needle)
+    for at in sorted(set(starts)):
+        lengths = span_lengths(n, len(text) - at) if n else []
+        if not lengths:
+            continue
+        span = text[at : at + lengths[-1]]
+        common, shared = prefix_lcs(needle, span), prefix_shared_bigrams(needle, span)
+        for length in lengths:
+            if length == n and span[:length] == needle:
+                found = 1.0
+            else:
+                found = 0.65 * 2 * common[length - 1] / (n + length) + 0.35 * 2 * shared[length - 1] / max(1, max(1, n - 1) + length - 1)
+            if best is None or found > best[2]:
+                best = (at, length, found)
+    return best
+
+
+@F.pandas_udf(StructType().add("start", "integer").add("length", "integer").add("confidence", "double"))
+def best_spans(needle: pd.Series, text: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    found = [best_span(a, b, list(at)) or (None, None, None) for a, b, at in zip(needle, text, starts, strict=True)]
+    return pd.DataFrame(found, columns=["start", "length", "confidence"]).astype({"start": "Int32", "length": "Int32", "confidence": "float64"})
+
+
 @F.pandas_udf(DoubleType())
 def mixed_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -16,7 +16,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.similarity import anchors, prefix_lcs, prefix_shared_bigrams, similarity
+from ..functions.similarity import anchors, prefix_lcs, prefix_shared_bigrams, similarity, span_lengths
 from ..functions.text import comparable_text
 
 #: Fixed values of the matching rules.
@@ -125,12 +125,10 @@ def best_candidate(needle: str, before: str, after: str, lat: Lattice, cursor: i
     starts = sorted({max(0, at) for at in starts})  # a part at the window's start may belong to a span that begins before it
     if not starts:
         starts = range(low, high, max(1, len(needle) // 3))
-    step = 1 if len(needle) < 18 else 2 if len(needle) < 50 else 4
     n = len(needle)
     spans: list[tuple[float, int, int, float]] = []  # score without what follows, start, length, confidence
     for at in starts:
-        least, most = max(3, math.floor(0.55 * n)), min(len(text) - at, math.ceil(1.75 * n) + 18)
-        lengths = sorted({*range(least, most + 1, step), *([n] if at + n <= len(text) else [])})
+        lengths = span_lengths(n, len(text) - at)
         if not lengths:
             continue
         span = text[at : at + lengths[-1]]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import similarity as sim
+
 SPAN = 3
 
 
@@ -48,10 +50,35 @@ def candidates(needles: DataFrame, needle_key: str, needle_text: str, docs: Data
     return hits.select(needle_key, doc_key, F.greatest(F.col("place") - F.col("offset"), F.lit(1)).alias("start")).distinct()
 
 
+def _per_text(found: DataFrame, needles: DataFrame, needle_key: str, needle_text: str, docs: DataFrame, doc_key: str, doc_text: str) -> DataFrame:
+    """(doc key, b, starts): each text's words once, with the candidates in it as (needle key, start, size); and no text twice."""
+    size = needles.select(needle_key, F.size(words(F.col(needle_text))).alias("size"))
+    per = found.join(size, needle_key).groupBy(doc_key).agg(F.collect_list(F.struct(F.col(needle_key).alias("needle"), "start", "size")).alias("starts"))
+    return per.join(docs.select(doc_key, words(F.col(doc_text)).alias("b")), doc_key)
+
+
 def windows(found: DataFrame, needles: DataFrame, needle_key: str, needle_text: str, docs: DataFrame, doc_key: str, doc_text: str) -> DataFrame:
     """The candidates with both texts, words joined by one space: a, the whole needle, and b, as many words of the text
-    from the start on, fewer at its end. Keys are unique in both tables."""
-    a = needles.select(needle_key, words(F.col(needle_text)).alias("a"))
-    b = docs.select(doc_key, words(F.col(doc_text)).alias("b"))
-    both = found.join(a, needle_key).join(b, doc_key)
-    return both.select(needle_key, doc_key, "start", F.array_join("a", " ").alias("a"), F.array_join(F.slice("b", F.col("start"), F.size("a")), " ").alias("b"))
+    from the start on, fewer at its end. Keys are unique in both tables. Windows are cut within a text's own row, so what
+    moves is the text once and the windows, and not the text for each candidate."""
+    cut = F.transform("starts", lambda x: F.struct(x["needle"].alias("needle"), x["start"].alias("start"), F.array_join(F.slice("b", x["start"], x["size"]), " ").alias("b")))
+    rows = _per_text(found, needles, needle_key, needle_text, docs, doc_key, doc_text).select(doc_key, F.explode(cut).alias("x"))
+    rows = rows.select(doc_key, F.col("x.needle").alias(needle_key), "x.start", "x.b")
+    a = needles.select(needle_key, F.array_join(words(F.col(needle_text)), " ").alias("a"))
+    return rows.join(a, needle_key).select(needle_key, doc_key, "start", "a", "b")
+
+
+def best_spans(found: DataFrame, needles: DataFrame, needle_key: str, needle_text: str, docs: DataFrame, doc_key: str, doc_text: str) -> DataFrame:
+    """(needle key, doc key, start, length, confidence): of each needle and text the span of characters, from 0, that is
+    most similar, over all candidate starts and all lengths about the needle's; the first and shortest wins ties. Texts
+    are words joined by one space. A needle that no span is tried for has no row."""
+    offset = lambda x: F.length(F.array_join(F.slice("b", 1, x["start"] - 1), " ")) + F.when(x["start"] > 1, 1).otherwise(0)
+    reach = F.ceil(F.lit(1.75) * F.col("n")).cast("int") + 18  # no tried span is longer
+    placed = F.transform("starts", lambda x: F.struct(x["needle"].alias("needle"), offset(x).alias("at")))
+    rows = _per_text(found, needles, needle_key, needle_text, docs, doc_key, doc_text).select(doc_key, F.array_join("b", " ").alias("text"), F.explode(placed).alias("x"))
+    a = needles.select(needle_key, F.array_join(words(F.col(needle_text)), " ").alias("a")).withColumn("n", F.length("a"))
+    rows = rows.select(doc_key, F.col("x.needle").alias(needle_key), "x.at", "text").join(a, needle_key)
+    cut = rows.select(needle_key, doc_key, "a", "at", F.substring("text", F.col("at") + 1, reach).alias("b"))
+    scored = cut.select(needle_key, doc_key, "at", sim.best_spans("a", "b", F.array(F.lit(0))).alias("s")).where("s.start is not null")
+    best = scored.groupBy(needle_key, doc_key).agg(F.min(F.struct((-F.col("s.confidence")).alias("c"), F.col("at").alias("start"), F.col("s.length").alias("length"))).alias("m"))
+    return best.select(needle_key, doc_key, F.col("m.start").cast("bigint").alias("start"), F.col("m.length").cast("bigint").alias("length"), (-F.col("m.c")).alias("confidence"))

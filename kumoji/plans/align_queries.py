@@ -29,7 +29,13 @@ def dice_similarity(spark, sf_dir):
 
 
 def lcs_similarity(spark, sf_dir):
-    return _scored(spark, sf_dir).select("item_id", "doc_id", "start", sim.lcs_similarity("a", "b").alias("lcs"), sim.mixed_similarity("a", "b").alias("similarity"))
+    return _scored(spark, sf_dir).select("item_id", "doc_id", "start", sim.both_similarities("a", "b").alias("s")).select("item_id", "doc_id", "start", "s.lcs", "s.similarity")
+
+
+def best_candidate(spark, sf_dir):
+    """The most similar span of each document for each item that has an anchor in it."""
+    found, sides = _starts(spark, sf_dir)
+    return anchor.best_spans(found, *sides)
 
 
 def anchor_candidates(spark, sf_dir):
@@ -53,7 +59,7 @@ def align_benchmark(spark, sf_dir):
     return found.groupBy("episode").agg(F.count("local_index").alias("n_segments"), F.count("issue").alias("n_issues"), F.avg("confidence").alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (dice_similarity, lcs_similarity, anchor_candidates, combine_short_units, align_benchmark)}
+QUERIES = {f.__name__: f for f in (dice_similarity, lcs_similarity, best_candidate, anchor_candidates, combine_short_units, align_benchmark)}
 
 _STARTS = r"""with i as (select item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as a from benchmark),
 n as (select item_id, unnest([0, (len(a) - least(3, len(a))) // 2, len(a) - least(3, len(a))]) as o, least(3, len(a)) as g, a from i where len(a) > 0),

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import corpus, highlight, search
+from ..operators import corpus, deinflect, highlight, search
 
 QUERY, LOOSE_QUERY, STEM_QUERY = "The", "thing", "thingzzq"
 
+LATIN_RULES, DEPTH = deinflect.romanised_rules(), 8
+
 #: Sentences of documents, as the segment operator cuts them.
 SEG = r"""
 with sent as (select doc_id + 1 as episode, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?.\n]+[。！？!?.]*'), lambda s: trim(s)), lambda s: length(s) > 0 and not regexp_matches(s, '^[-=_ー―—–─ 　]+$|^★|^【[^】]*】$')) as s from documents where text is not null),
@@ -47,6 +49,14 @@ def postings_surface(spark, sf_dir):
     return _listed(corpus.postings(_segments(spark, sf_dir), "surface"))
 
 
+def deinflect_terms(spark, sf_dir):
+    """Every word of the documents, in lower case, back towards dictionary forms by the rules in Latin letters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z]+"), 0))).alias("word")).distinct()
+    found = words.select("word", F.posexplode(deinflect.deinflections(F.col("word"), LATIN_RULES, DEPTH)).alias("rank", "d")).where("rank > 0")
+    return found.select("word", F.col("d.term").alias("term"), F.array_join("d.reasons", " < ").alias("reasons"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def postings_lemma(spark, sf_dir):
     return _listed(corpus.postings(_segments(spark, sf_dir), "lemma"))
 
@@ -116,7 +126,7 @@ def token_spans(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        segments, segment_id_roundtrip, tokens_filtered, postings_surface, postings_lemma, bucket_histogram, surface_to_lemmas, index_counts, search_exact, search_exact_page2,
+        segments, segment_id_roundtrip, tokens_filtered, postings_surface, postings_lemma, bucket_histogram, surface_to_lemmas, index_counts, deinflect_terms, search_exact, search_exact_page2,
         search_auto, search_loose, search_prefix_stem, search_episode_range, hydrate, highlight_exact, highlight_ranges_merged, token_spans,
     )
 }
@@ -127,7 +137,18 @@ select left(sha256(key), 2) as bucket, key, cast(floor(episode / 512) as bigint)
 from k group by key, cast(floor(episode / 512) as bigint)
 """
 
+_RULES = ", ".join(f"({k}, '{r.name}', '{r.ending}', '{r.base}', {deinflect.flags(r.of)}, {deinflect.flags(r.gives)})" for k, r in enumerate(LATIN_RULES))
+
 ORACLES = {
+    "deinflect_terms": f"""
+with recursive rules(n, name, ending, base, o, g) as (values {_RULES}),
+w as (select distinct unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) as word from documents),
+d(word, term, state, reasons, path, level) as (select word, word, 0, '', '', 0 from w
+  union all select word, substr(term, 1, length(term) - length(ending)) || base, g, case when reasons = '' then name else name || ' < ' || reasons end, path || lpad(cast(n as varchar), 4, '0'), level + 1
+  from d join rules on suffix(term, ending) and (state = 0 or (state & o) <> 0) and length(term) - length(ending) + length(base) > 0 where level < {DEPTH}),
+f as (select *, row_number() over (partition by word, term order by level, path) as k from d)
+select word, term, reasons, rank from (select word, term, reasons, row_number() over (partition by word order by level, path) - 1 as rank from f where k = 1) where rank > 0
+""",
     "segments": SEG + "last as (select 1) select segment_id, 'ep' || episode || '-s' || lpad(cast(local_index as varchar), 5, '0') as segment_key, episode, cast(local_index as int) as local_index, text from seg",
     "segment_id_roundtrip": SEG + "last as (select 1) select segment_id, segment_id // 100000 as episode, segment_id % 100000 as local_index, 'ep' || episode as episode_key from seg",
     "tokens_filtered": SEG + "last as (select 1) select segment_id, count(*) as n_tokens, count(distinct lower(surface)) as n_lemmas from tok group by segment_id",
