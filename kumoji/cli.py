@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import ids
 from .functions.text import normalized_query
 from .operators import corpus, manifest, process, search, validate
-from .sources import landed, tables
+from .sources import export, landed, tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     one = job("process-episode")
     one.add_argument("--episode", type=int, required=True)
     processing(one, latest=False)
+    job("export-index", "--to").set_defaults(to=None)
     job("validate").add_argument("--no-report", action="store_true")
     s = job("search")
     s.add_argument("query")
@@ -160,6 +161,8 @@ def main(argv: list[str] | None = None) -> None:
             print(f"{r['status']}: {r['count']}")
     if a.job in ("rebuild-index", "update"):
         rebuild_index(spark, data, a.allow_empty)
+    if a.job == "export-index":
+        print(export.write_index(spark, tables.current(spark, f"{data}/index"), a.to or f"{data}/export"))
     if a.job == "search":
         run_search(spark, data, a.query, a.mode, a.limit)
     if a.job == "validate":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import corpus, deinflect, highlight, search
+from ..sources import export
 
 QUERY, LOOSE_QUERY, STEM_QUERY = "The", "thing", "thingzzq"
 
@@ -65,6 +66,13 @@ def bucket_histogram(spark, sf_dir):
     return corpus.bucket_histogram(_segments(spark, sf_dir))
 
 
+def export_sizes(spark, sf_dir):
+    """Lines and bytes of each of the 256 serving files of the surface index."""
+    made = export.bucket_lines(corpus.postings(_segments(spark, sf_dir), "surface"))
+    size = F.octet_length("lines").cast("bigint") + 1
+    return made.groupBy("bucket").agg(F.sum(F.length("lines") - F.length(F.translate("lines", "\n", "")) + 1).cast("bigint").alias("n_lines"), F.sum(size).alias("n_bytes"))
+
+
 def surface_to_lemmas(spark, sf_dir):
     return corpus.surface_lemmas(_segments(spark, sf_dir)).withColumn("lemmas", F.array_join("lemmas", ","))
 
@@ -126,7 +134,7 @@ def token_spans(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        segments, segment_id_roundtrip, tokens_filtered, postings_surface, postings_lemma, bucket_histogram, surface_to_lemmas, index_counts, deinflect_terms, search_exact, search_exact_page2,
+        segments, segment_id_roundtrip, tokens_filtered, postings_surface, postings_lemma, bucket_histogram, export_sizes, surface_to_lemmas, index_counts, deinflect_terms, search_exact, search_exact_page2,
         search_auto, search_loose, search_prefix_stem, search_episode_range, hydrate, highlight_exact, highlight_ranges_merged, token_spans,
     )
 }
@@ -148,6 +156,12 @@ d(word, term, state, reasons, path, level) as (select word, word, 0, '', '', 0 f
   from d join rules on suffix(term, ending) and (state = 0 or (state & o) <> 0) and length(term) - length(ending) + length(base) > 0 where level < {DEPTH}),
 f as (select *, row_number() over (partition by word, term order by level, path) as k from d)
 select word, term, reasons, rank from (select word, term, reasons, row_number() over (partition by word order by level, path) - 1 as rank from f where k = 1) where rank > 0
+""",
+    "export_sizes": SEG + """
+k as (select surface, count(*) as n, sum(length(cast(segment_id as varchar))) as digits from (select distinct surface, segment_id from tok) group by surface),
+b as (select left(sha256(surface), 2) as bucket, count(*) as keys, sum(n) as n, sum(strlen(surface)) as key_bytes, sum(digits) as digits from k group by 1),
+names as (select format('{:02x}', i) as bucket from range(256) t(i))
+select bucket, cast(case when keys is null then 1 else 2 + 2 * keys + n end as bigint) as n_lines, cast(case when keys is null then 3 else 2 + 2 + keys * (2 + 2 + 4 + 5) - 1 + key_bytes + digits + n * 6 - keys end as bigint) as n_bytes from names left join b using (bucket)
 """,
     "segments": SEG + "last as (select 1) select segment_id, 'ep' || episode || '-s' || lpad(cast(local_index as varchar), 5, '0') as segment_key, episode, cast(local_index as int) as local_index, text from seg",
     "segment_id_roundtrip": SEG + "last as (select 1) select segment_id, segment_id // 100000 as episode, segment_id % 100000 as local_index, 'ep' || episode as episode_key from seg",
