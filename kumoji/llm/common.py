@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -130,11 +129,11 @@ def maybe_in(keys: DataFrame, count: int) -> Callable[[F.Column], F.Column]:
         whole[r.p * size : (r.p + 1) * size] |= np.frombuffer(bytes(r.bits), np.uint8)
     sent = keys.sparkSession.sparkContext.broadcast(whole)
 
-    @F.pandas_udf("boolean")
-    def test(column: pd.Series) -> pd.Series:
-        x, held = column.to_numpy(np.int64), sent.value
+    @F.arrow_udf("boolean")
+    def test(column: pa.Array) -> pa.Array:
+        x, held = column.to_numpy(zero_copy_only=False), sent.value
         at = (x.view(np.uint64) % np.uint64(FILTER_PARTS))[:, None] * np.uint64(bits // FILTER_PARTS) + _places(x, bits)
-        return pd.Series(((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1))
+        return pa.array(((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1))
 
     return test
 

@@ -41,8 +41,8 @@ STRIP = ".,;:!?*&%$#\"'()[]{}<>"
 LONGEST, PIECE, OVERLAP = 64, 16, SIZES[-1] - 1
 #: Words of a segment.
 SEGMENT = 64
-#: Words a worker keeps before it starts anew.
-KEPT = 250_000
+#: Words a worker keeps before it starts anew, words whose n-grams are laid out at once, and bytes of text that are scored at once.
+KEPT, AT_ONCE, SLICE = 250_000, 1 << 14, 1 << 20
 
 
 def split_words(text: str) -> list[str]:
@@ -213,9 +213,11 @@ class Scorer:
             if len(known) + len(missed) > KEPT:
                 known.clear()
                 missed = list(words)
-            buckets, owners = subwords(missed)
-            means = np.bincount(owners, weights=self.weights[buckets]) / np.bincount(owners)
-            known.update(zip(missed, means.tolist(), strict=True))
+            for a in range(0, len(missed), AT_ONCE):
+                part = missed[a : a + AT_ONCE]
+                buckets, owners = subwords(part)
+                means = np.bincount(owners, weights=self.weights[buckets]) / np.bincount(owners)
+                known.update(zip(part, means.tolist(), strict=True))
 
     def logits(self, texts: list[str], size: int) -> np.ndarray:
         split = [segments(text, size) for text in texts]
@@ -294,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for part in in_slices(batch, "text", 4 << 20):
+            for part in in_slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(scorer.logits(part.column("text").to_pylist(), segment))], ["y", "logit"])
 
     seen = sample.where("tells").select("y", "text").mapInArrow(told, "y int, logit double").toArrow()  # a number for each of an eighth of the sample
@@ -319,7 +321,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_held(f"toxicity {key}", lambda: Scorer(shared.value))
         for batch in batches:
-            for part in in_slices(batch, "text", 4 << 20):
+            for part in in_slices(batch, "text", SLICE):
                 score = scorer.scores(part.column("text").to_pylist(), segment)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -333,7 +335,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_held(f"toxicity {key}", lambda: Scorer(shared.value))
         for batch in batches:
-            for part in in_slices(batch, text_col, 4 << 20):
+            for part in in_slices(batch, text_col, SLICE):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 yield part.filter(pa.array(scorer.scores(texts, segment) < threshold))
 
