@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids
 from .functions.text import normalized_query
-from .operators import corpus, manifest, process, search, validate
+from .operators import corpus, manifest, process, reports, search, validate
 from .sources import export, landed, tables
 
 
@@ -57,11 +57,22 @@ def _overrides(spark: SparkSession, path: str | None) -> dict:
 
 
 def list_videos(spark: SparkSession, data: str, playlist: str, overrides: str | None = None) -> None:
-    tables.write_stable(landed.videos(landed.playlist(spark, playlist), _overrides(spark, overrides).get("videos")), f"{data}/videos")
+    """The videos, and a report of their episodes and of the overrides that were used or match no video."""
+    wanted = _overrides(spark, overrides).get("videos")
+    tables.write_stable(landed.videos(landed.playlist(spark, playlist), wanted), f"{data}/videos")
+    rows = tables.read(spark, f"{data}/videos")
+    found = reports.report(rows, "episode", "video_id")
+    if wanted is not None:
+        for section, used in (("applied-override", rows.join(wanted.select("video_id"), "video_id", "left_semi").select("video_id", "episode")), ("stale-override", manifest.stale_overrides(rows, wanted, "video_id"))):
+            found = found.unionByName(used.select(F.lit(section).alias("section"), F.col("episode").cast("bigint").alias("episode"), F.col("video_id").alias("id"), F.lit(1).cast("bigint").alias("n")), allowMissingColumns=True)
+    tables.write_stable(found, f"{data}/video_report")
 
 
 def discover_scripts(spark: SparkSession, data: str, pages: str) -> None:
+    """The pages' scripts, and a report of episodes by title and by address; a page without a script is in its status."""
     tables.write_stable(landed.script_pages(spark.read.parquet(pages), hooks=True), f"{data}/scripts")
+    rows = tables.read(spark, f"{data}/scripts")
+    tables.write_stable(reports.report(rows, "episode", "url", {"unparsed-page": F.col("status") != "parsed"}, "url_episode"), f"{data}/script_report")
 
 
 def build_manifest(spark: SparkSession, data: str, overrides: str | None = None) -> None:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import corpus, manifest as m, timeline
+from ..operators import capture, corpus, manifest as m, reports, timeline
 from ..sources import landed
 from .corpus_queries import SEG
 
@@ -81,6 +81,26 @@ def prev_next_context(spark, sf_dir):
     return out.select("conv_id", "turn", "previous", "n_following")
 
 
+def discovery_report(spark, sf_dir):
+    """Documents as pages: an episode by the title unless it is Spanish, another one by the address for every seventh length, failed if very short."""
+    d = _t(spark, sf_dir, "documents")
+    rows = d.select("doc_id", "n_chars", F.when(F.col("lang") != "es", F.floor(F.col("doc_id") / 2)).alias("episode"), F.floor(F.col("doc_id") / 2 + F.when(F.col("n_chars") % 7 == 0, 1).otherwise(0)).alias("url_episode"))
+    return reports.report(rows, "episode", "doc_id", {"failed": F.col("n_chars") < 20}, "url_episode")
+
+
+def transcript_capture(spark, sf_dir):
+    """From each tenth of a conversation's characters, two tenths of them, as clips; a turn takes eight seconds."""
+    c = _t(spark, sf_dir, "conversations").where("text is not null")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    segs = c.select("conv_id", (F.row_number().over(w) - 1).alias("local_index"), "text", F.lit("abcdefghijk").alias("video_id"))
+    segs = segs.withColumns({"start": F.col("local_index") * 8.0, "end": F.col("local_index") * 8.0 + 7.5})
+    total = segs.groupBy("conv_id").agg(F.sum(F.length("text") + 1).alias("size"))
+    tenth = lambda k: F.floor(F.col("size") * k / 10).cast("bigint")
+    picked = total.select("conv_id", "size", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("selection")).select("conv_id", "selection", tenth(F.col("selection")).alias("a"), tenth(F.col("selection") + 2).alias("b"))
+    found = capture.captures(segs, picked, "conv_id")
+    return found.select("conv_id", "selection", F.length("selected_text").alias("n_chars"), F.size("lines").alias("n_lines"), "start_ms", "end_ms", "valid", F.sha2("selected_text", 256).alias("hash"))
+
+
 def monotonic_violations(spark, sf_dir):
     e = _t(spark, sf_dir, "events").withColumn("start", _seconds("ts")).withColumn("end", F.col("start") + F.col("value"))
     return timeline.monotonic_violations(e, "user_id", ["ts", "event_id"], "start", "end").select("user_id", "event_id", "previous_end")
@@ -186,7 +206,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_title_text, page_visible_text, page_url_parts, episode_from_url, boilerplate_strip, script_page_status, caption_spoken_end, caption_characters, active_caption_asof, cues_in_gap,
-        prev_next_context, monotonic_violations, contiguity_check, interpolated_gap, canonical_choice, duplicate_groups, missing_in_range, manifest_status, status_counts, override_applied,
+        prev_next_context, discovery_report, transcript_capture, monotonic_violations, contiguity_check, interpolated_gap, canonical_choice, duplicate_groups, missing_in_range, manifest_status, status_counts, override_applied,
         override_stale, latest_k, review_low_k, summary_metrics, build_report_merge, incremental_skip, schema_violations, publish_times,
     )
 }
@@ -222,6 +242,31 @@ ORACLES = {
     "active_caption_asof": "with r as (select user_id, ts, max(event_id) as event_id from events where event_type <> 'click' group by user_id, ts) select p.event_id as probe_id, r.event_id from (select * from events where event_type = 'click') p asof left join r on p.user_id = r.user_id and p.ts >= r.ts",
     "cues_in_gap": f"with e as (select *, {_SEC} as at from events) select g.event_id as gap_id, count(*) as n, min(c.event_id) as first_event from (select * from e where event_type = 'click') g join (select * from e where event_type <> 'click') c on g.user_id = c.user_id and g.at - 5 <= c.at + 2 and c.at <= g.at + 3600 group by 1",
     "prev_next_context": "with c as (select conv_id, turn, coalesce(text, '') as t, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn) as u from conversations) select a.conv_id, a.turn, lag(t) over (partition by a.conv_id order by a.turn) as previous, cast(coalesce((select sum(length(b.t)) + count(*) - 1 from c b where b.conv_id = a.conv_id and b.turn > a.turn and b.u - length(b.t) - a.u < 80), 0) as bigint) as n_following from c a",
+    "discovery_report": """
+with r as (select cast(doc_id as varchar) as m, n_chars, case when lang <> 'es' then doc_id // 2 end as e, doc_id // 2 + case when n_chars % 7 = 0 then 1 else 0 end as u from documents)
+select 'total' as section, cast(null as bigint) as episode, cast(null as varchar) as id, count(*) as n, cast(min(e) as varchar) as first, cast(max(e) as varchar) as last from r having count(*) > 0
+union all select 'parsed', null, null, count(*), null, null from r where e is not null having count(*) > 0
+union all select 'unparsed', null, m, count(*), null, null from r where e is null group by m
+union all select 'duplicate', e, null, count(*), min(m), max(m) from r where e is not null group by e having count(*) > 1
+union all select 'total-url', null, null, count(*), cast(min(u) as varchar), cast(max(u) as varchar) from r where u is not null having count(*) > 0
+union all select 'duplicate-url', u, null, count(*), min(m), max(m) from r where u is not null group by u having count(*) > 1
+union all select 'mismatch', e, m, count(*), null, null from r where e <> u group by e, m
+union all select 'failed', e, m, count(*), null, null from r where n_chars < 20 group by e, m
+union all select 'missing', i, null, 1, null, null from (select unnest(generate_series(min(e), max(e))) as i from r) where i not in (select e from r where e is not null)
+union all select 'missing-url', i, null, 1, null, null from (select unnest(generate_series(min(u), max(u))) as i from r) where i not in (select u from r where u is not null)""",
+    "transcript_capture": r"""
+with s as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as i, text from conversations where text is not null),
+p as (select *, i * 8.0::double as st, i * 8.0::double + 7.5 as en, length(text) as size, coalesce(sum(length(text) + 1) over (partition by conv_id order by i rows between unbounded preceding and 1 preceding), 0) as place from s),
+t as (select conv_id, sum(length(text) + 1) as size from s group by conv_id),
+q as (select conv_id, k as selection, cast(floor(size * k / 10.0) as bigint) as a, cast(floor(size * (k + 2) / 10.0) as bigint) as b from t, range(9) g(k)),
+j as (select q.conv_id, selection, a, b, i, st, en, p.size, place, substr(text, cast(greatest(a - place, 0) + 1 as bigint), cast(greatest(least(b, place + p.size) - greatest(a, place), 0) as bigint)) as piece from q join p on q.conv_id = p.conv_id and a <= place + p.size and place <= b - 1 where b > a),
+f as (select conv_id, selection, any_value(a) as a, any_value(b) as b, regexp_replace(string_agg(piece, chr(10) order by i), '^\s+|\s+$', '', 'g') as txt, count(*) as n_lines,
+  arg_min(st, i) as s1, arg_min(en, i) as e1, arg_min(size, i) as z1, arg_min(place, i) as p1, arg_max(st, i) as s2, arg_max(en, i) as e2, arg_max(size, i) as z2, arg_max(place, i) as p2 from j group by conv_id, selection),
+x as (select *, greatest(s1, s1 + (e1 - s1) * least(greatest(greatest(a - p1, 0) / greatest(z1, 1), 0), 1) - 0.25) as x1, least(e2, s2 + (e2 - s2) * least(greatest(least(b - p2, z2) / greatest(z2, 1), 0), 1) + 0.25) as x2 from f),
+y as (select *, case when x2 - x1 < 0.25 then greatest(s1, x2 - 0.25) else x1 end as y1 from x),
+z as (select *, case when x2 - x1 < 0.25 then least(e2, y1 + 0.25) else x2 end as y2 from y)
+select conv_id, cast(selection as int) as selection, cast(length(txt) as int) as n_chars, cast(n_lines as int) as n_lines, cast(floor(y1 * 1000 + 0.5) as bigint) as start_ms, cast(floor(y2 * 1000 + 0.5) as bigint) as end_ms, y2 - y1 between 0.25 and 30 as valid, sha256(txt) as hash
+from z where length(txt) > 0 and y2 > y1""",
     "monotonic_violations": f"select user_id, event_id, p as previous_end from (select user_id, event_id, {_SEC} as s, lag({_SEC} + value) over (partition by user_id order by ts, event_id) as p from events) where s < p - 0.01",
     "contiguity_check": "select conv_id, n, b as last_turn from (select conv_id, count(*) as n, count(distinct turn) as d, min(turn) as a, max(turn) as b from conversations group by conv_id) where not (n = d and a = 0 and b = n - 1)",
     "interpolated_gap": """with e as (select event_id, user_id, case when event_id % 5 = 0 then cast(event_id as double) end as k, row_number() over (partition by user_id order by event_id) as w from events),

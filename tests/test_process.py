@@ -166,6 +166,7 @@ def test_commands(spark, tmp_path, capsys):
     spark.createDataFrame([(2, transcript((0, 5, ONE), (6, 12, TWO)))], "episode bigint, stdout string").write.parquet(f"{data}/transcripts")
     over = str(tmp_path / "o.json")
     cli.list_videos(spark, data, str(tmp_path / "p.json"), over)
+    assert {(r.section, r.episode, r.id) for r in tables.read(spark, f"{data}/video_report").collect()} == {("total", None, None), ("parsed", None, None), ("applied-override", 2, "zzzzzzzzzzz")}
     with pytest.raises(ValueError, match="allow-empty"):
         cli.rebuild_index(spark, data)
     cli.build_manifest(spark, data, over)
