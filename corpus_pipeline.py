@@ -41,9 +41,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.keep(docs)
-    return docs
+    """All stages; each is written to the shared folder, and what it was made from goes once it is. The last stage reads
+    the table before it, which stays until the caller has read the rows and removes the folder."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = scratch.write(stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
