@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import corpus, deinflect, highlight, search
-from ..sources import export
+from ..sources import export, tables
 
 QUERY, LOOSE_QUERY, STEM_QUERY = "The", "thing", "thingzzq"
 
@@ -25,8 +27,18 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.segments(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> corpus.Index:
-    return corpus.Index.of(_segments(spark, sf_dir))
+#: Folders of stored indexes by session and data folder.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> corpus.Index:
+    """The index of the documents: made once a session in the folder that executors share, then read by bucket and block."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _STORED or not tables.there(spark, _STORED[name]):
+        segs = _segments(spark, sf_dir).withColumns({"start": (F.col("local_index") * 4.5).cast("double"), "video_id": F.concat(F.lit("v"), F.col("episode").cast("string"))})
+        root = f"{tables.shared_root(spark)}/kumoji-index-{uuid.uuid4().hex}"
+        _STORED[name] = tables.publish(spark, root, lambda folder: corpus.write_index(segs, folder))
+    return corpus.Index(spark, _STORED[name])
 
 
 def segments(spark, sf_dir):
@@ -82,33 +94,32 @@ def index_counts(spark, sf_dir):
 
 
 def search_exact(spark, sf_dir):
-    return search.exact(_index(spark, sf_dir), QUERY).hits
+    return search.exact(stored_index(spark, sf_dir), QUERY).hits
 
 
 def search_exact_page2(spark, sf_dir):
-    return search.exact(_index(spark, sf_dir), QUERY, 25, 25).rows()
+    return search.exact(stored_index(spark, sf_dir), QUERY, 25, 25).rows()
 
 
 def search_auto(spark, sf_dir):
-    return search.auto(_index(spark, sf_dir), QUERY).hits
+    return search.auto(stored_index(spark, sf_dir), QUERY).hits
 
 
 def search_loose(spark, sf_dir):
-    return search.loose(_index(spark, sf_dir), LOOSE_QUERY).hits
+    return search.loose(stored_index(spark, sf_dir), LOOSE_QUERY).hits
 
 
 def search_prefix_stem(spark, sf_dir):
-    return search.loose(_index(spark, sf_dir), STEM_QUERY).hits
+    return search.loose(stored_index(spark, sf_dir), STEM_QUERY).hits
 
 
 def search_episode_range(spark, sf_dir):
-    return search.within_episodes(search.exact(_index(spark, sf_dir), QUERY).hits, 300, 100)
+    return search.within_episodes(search.exact(stored_index(spark, sf_dir), QUERY).hits, 300, 100)
 
 
 def hydrate(spark, sf_dir):
-    s = _segments(spark, sf_dir).withColumn("start", (F.col("local_index") * 4.5).cast("double")).withColumn("video_id", F.concat(F.lit("v"), F.col("episode").cast("string")))
-    hits = search.exact(corpus.Index.of(s.drop("start", "video_id")), QUERY).hits
-    return search.hydrated(hits, s.drop("segment_key"))
+    index = stored_index(spark, sf_dir)
+    return search.hydrated(search.exact(index, QUERY).hits, index.segments().drop("segment_key"))
 
 
 def highlight_exact(spark, sf_dir):
