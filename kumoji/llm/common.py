@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -102,11 +103,22 @@ def _places(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((x[:, None] + np.arange(1, FILTER_HASHES + 1, dtype=np.uint64) * step[:, None]) >> np.uint64(20)) % np.uint64(bits // FILTER_PARTS)
 
 
-def maybe_in(keys: DataFrame, count: int) -> Callable[[F.Column], F.Column]:
-    """A test for a column of hashes that is true for all of keys' (one column of hashes), and for few others.
+class MaybeIn:
+    """A Bloom filter: tells of hashes whether they may be among those that it was made of."""
 
-    A Bloom filter of at most 64 MB: with more keys than it has room for, more others pass, and none is lost. Its parts are
-    made on the executors, one a task, and are all that comes to the driver.
+    def __init__(self, bits: int, held: np.ndarray):
+        self.bits, self.held = bits, held
+
+    def test(self, x: np.ndarray) -> np.ndarray:
+        at = (x.view(np.uint64) % np.uint64(FILTER_PARTS))[:, None] * np.uint64(self.bits // FILTER_PARTS) + _places(x, self.bits)
+        return (((self.held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1) != 0).all(axis=1)
+
+
+def maybe_in(keys: DataFrame, count: int):
+    """A broadcast MaybeIn of keys' one column of hashes: true for all of them, and for few others.
+
+    It has at most 64 MB: with more keys than it has room for, more others pass, and none is lost. Its parts are made on
+    the executors, one a task, and are all that comes to the driver.
     """
     bits = max(1 << 16, min(FILTER_MOST, 1 << (FILTER_BITS * max(1, count) - 1).bit_length()))
     name = keys.columns[0]
@@ -127,13 +139,15 @@ def maybe_in(keys: DataFrame, count: int) -> Callable[[F.Column], F.Column]:
     size = bits // FILTER_PARTS // 8
     for r in parts.collect():
         whole[r.p * size : (r.p + 1) * size] |= np.frombuffer(bytes(r.bits), np.uint8)
-    sent = keys.sparkSession.sparkContext.broadcast(whole)
+    return keys.sparkSession.sparkContext.broadcast(MaybeIn(bits, whole))
+
+
+def maybe_in_column(sent) -> Callable[[F.Column], F.Column]:
+    """The test of a broadcast MaybeIn for a column."""
 
     @F.arrow_udf("boolean")
     def test(column: pa.Array) -> pa.Array:
-        x, held = column.to_numpy(zero_copy_only=False), sent.value
-        at = (x.view(np.uint64) % np.uint64(FILTER_PARTS))[:, None] * np.uint64(bits // FILTER_PARTS) + _places(x, bits)
-        return pa.array(((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1))
+        return pa.array(sent.value.test(column.to_numpy(zero_copy_only=False)))
 
     return test
 
@@ -155,5 +169,7 @@ def worker_held(key: str, make: Callable[[], object]):
     operator left behind would take memory from the next one."""
     if key not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _held[key] = make()
     return _held[key]

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import Scratch, as_text, free_name, in_slices, maybe_in
+from .common import Scratch, as_text, free_name, in_slices, maybe_in, maybe_in_column
 from .simhash import SEED, connected
 from .substring import window_hashes, word_hashes
 from .trie import classes
@@ -240,15 +240,18 @@ def shingled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wid
     text = as_text(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     name = F.xxhash64("doc_id", "version")
-    rows = rows.where(maybe_in(names.select(name), names.count())(name))
+    sent = maybe_in(names.select(name), names.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.num_rows:
+                batch = batch.filter(pa.array(sent.value.test(batch.column("k").to_numpy())))
             for part in in_slices(batch, "text", 4 << 20):
                 own = [shingles(t.as_py(), width).view(np.int64) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "version", "s"])
 
-    found = rows.mapInArrow(run, "doc_id bigint, version bigint, s array<bigint>")
+    # Tested within the same function: two Python steps in a stage would be two workers for each task.
+    found = rows.withColumn("k", name).mapInArrow(run, "doc_id bigint, version bigint, s array<bigint>")
     both = names.join(found, names["doc_id"].eqNullSafe(found["doc_id"]) & (names["version"] == found["version"]))
     return both.select("node", "s").dropDuplicates(["node"])
 
@@ -328,7 +331,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop(scratch.root)
     named = docs.withColumns({g_id: F.col(id_col).cast("bigint"), g_version: F.xxhash64(as_text(text_col))})
     name = F.xxhash64(g_id, g_version)
-    test = maybe_in(odd.select(name), odd.count())
+    test = maybe_in_column(maybe_in(odd.select(name), odd.count()))
     asked = named.where(test(name)).alias("d").join(odd.alias("o"), F.col(f"d.{g_id}").eqNullSafe(F.col(f"o.{g_id}")) & (F.col(f"d.{g_version}") == F.col(f"o.{g_version}")), "left")
     asked = asked.where(F.coalesce(F.col(f"o.{g_stays}"), F.lit(True))).select("d.*").dropDuplicates([g_id, g_version])
     return named.where(~test(name)).unionByName(asked).drop(g_id, g_version)
