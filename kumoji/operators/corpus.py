@@ -168,6 +168,12 @@ class Index:
             segs = segs.where(F.col("block").isin(sorted({i // ids.PER_EPISODE // BLOCK for i in found}))).drop("block")
         return segs.where(F.col("segment_id").isin(found))
 
+    def postings(self, kind: str) -> DataFrame:
+        """(key, segment_id) of all keys, for joins with many of them."""
+        if not self.path:
+            return _keys(self._segs, kind, self._tokenizer).select("key", "segment_id")
+        return self.spark.read.parquet(f"{self.path}/postings/{kind}").select("key", F.explode("segment_ids").alias("segment_id"))
+
     def hits(self, kind: str, keys: list[str]) -> DataFrame:
         """(key, segment_id) of the given keys."""
         if not self.path:

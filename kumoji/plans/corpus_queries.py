@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import corpus, deinflect, highlight, search
+from ..operators import corpus, deinflect, highlight, reports, requests, search
 from ..sources import export, tables
 
 QUERY, LOOSE_QUERY, STEM_QUERY = "The", "thing", "thingzzq"
@@ -117,6 +117,21 @@ def search_episode_range(spark, sf_dir):
     return search.within_episodes(search.exact(stored_index(spark, sf_dir), QUERY).hits, 300, 100)
 
 
+def request_answers(spark, sf_dir):
+    """The benchmark's items as requests: their first word, and an episode range in one of five forms by the item's number."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null")
+    n = F.col("n")
+    low, high = (n * 7 % 400).cast("string"), (n * 13 % 900).cast("string")
+    form = F.when(n % 5 == 0, F.concat(low, F.lit("-"), high)).when(n % 5 == 1, F.concat(high, F.lit("-"), low)).when(n % 5 == 2, F.concat(low, F.lit("-"))).when(n % 5 == 3, "")
+    asked = items.withColumn("n", F.length("text")).select("item_id", F.concat(F.lit(" "), F.regexp_extract("text", r"[\p{L}\p{N}]+", 0), F.lit("\n")).alias("q"), F.when(n % 2 == 0, "exact").alias("mode"), F.concat(n.cast("string"), F.lit(".0")).alias("clip"), form.alias("episodes"))
+    index = stored_index(spark, sf_dir)
+    status = reports.corpus_status(index.segments()).first()
+    asked = requests.cleaned(asked, F.lit(status.first_episode), F.lit(status.last_episode))
+    found = requests.exact_answers(index, asked, "item_id", 5)
+    out = asked.join(found, "item_id").select("item_id", "q", "mode", "clip", "episodes", "low", "high", "total", F.array_join(F.transform("segment_ids", lambda x: x.cast("string")), ",").alias("shown"))
+    return out
+
+
 def hydrate(spark, sf_dir):
     index = stored_index(spark, sf_dir)
     return search.hydrated(search.exact(index, QUERY).hits, index.segments().drop("segment_key"))
@@ -146,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         segments, segment_id_roundtrip, tokens_filtered, postings_surface, postings_lemma, bucket_histogram, export_sizes, surface_to_lemmas, index_counts, deinflect_terms, search_exact, search_exact_page2,
-        search_auto, search_loose, search_prefix_stem, search_episode_range, hydrate, highlight_exact, highlight_ranges_merged, token_spans,
+        search_auto, search_loose, search_prefix_stem, search_episode_range, request_answers, hydrate, highlight_exact, highlight_ranges_merged, token_spans,
     )
 }
 
@@ -193,6 +208,16 @@ select lpad(lower(to_hex(i)), 2, '0') as bucket, coalesce(n_keys, 0) as n_keys,
 p as (select surface, rank() over (order by length(surface) desc) as r from (select distinct surface from tok where starts_with('thingzzq', surface) and length(surface) > 1 and length(surface) < 8))
 select distinct segment_id from tok where lower(surface) in (select lower(surface) from p where r = 1) or lower(surface) = 'thingzzq'""",
     "search_episode_range": SEG + "last as (select 1) select distinct segment_id from tok where surface = 'The' and episode between 100 and 300",
+    "request_answers": SEG + r"""
+bounds as (select min(episode) as lo, max(episode) as hi from seg),
+i as (select item_id, length(text) as n, regexp_extract(text, '[\p{L}\p{N}]+') as q from benchmark where text is not null),
+r as (select item_id, nullif(q, '') as q, case when n % 2 = 0 then 'exact' else 'loose' end as mode, n as clip, case when n % 5 < 2 then least(n * 7 % 400, n * 13 % 900) end as a, case when n % 5 < 2 then greatest(n * 7 % 400, n * 13 % 900) end as b from i),
+c as (select item_id, q, mode, case when clip > 0 then clip end as clip, least(hi, greatest(lo, coalesce(a, lo))) as low, least(hi, greatest(lo, coalesce(b, hi))) as high, lo, hi from r, bounds),
+h as (select distinct item_id, t.segment_id from c join tok t on t.surface = c.q and t.episode between low and high),
+k as (select item_id, segment_id, row_number() over (partition by item_id order by segment_id) as rank from h),
+s as (select item_id, count(*) as total, string_agg(cast(segment_id as varchar), ',' order by segment_id) filter (where rank <= 5) as shown from k group by item_id)
+select item_id, q, mode, cast(clip as bigint) as clip, case when low <> lo or high <> hi then low || '-' || high end as episodes, low, high, coalesce(total, 0) as total, coalesce(shown, '') as shown from c left join s using (item_id)
+""",
     "hydrate": SEG + """
 h as (select distinct segment_id from tok where surface = 'The'),
 t as (select segment_id, episode, cast(local_index as int) as local_index, text, cast(local_index * 4.5 as double) as start, 'v' || episode as video_id from h join seg using (segment_id))
