@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from ..sources import tables
 
 #: Episodes of a block of postings.
 BLOCK = 512
@@ -145,7 +146,7 @@ def _buckets(keys: list[str]) -> list[str]:
 
 
 class Index:
-    """What write_index wrote; look-ups read the partitions of their keys only."""
+    """What write_index wrote; look-ups list and read the partitions of their keys only."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -157,15 +158,20 @@ class Index:
         self._segs, self._tokenizer = segs, tokenizer
         return self
 
+    def _parts(self, table: str, column: str, values: list) -> DataFrame | None:
+        """The partitions of a stored table with these values, named by their folders; None if none is there."""
+        root = f"{self.path}/{table}"
+        folders = [f for v in values if tables.there(self.spark, f := f"{root}/{column}={v}")]
+        return self.spark.read.option("basePath", root).parquet(*folders).where(F.col(column).isin(values)) if folders else None
+
     def segments(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/segments").drop("block") if self.path else self._segs
 
     def segments_of(self, rows: DataFrame, most: int) -> DataFrame:
         """The segments of a page of hits: at most `most` ids, so their blocks and ids become filters of the scan."""
         found = [r["segment_id"] for r in rows.select("segment_id").limit(most).collect()]  # a page, bounded by its limit
-        segs = self.spark.read.parquet(f"{self.path}/segments") if self.path else self._segs
-        if self.path:
-            segs = segs.where(F.col("block").isin(sorted({i // ids.PER_EPISODE // BLOCK for i in found}))).drop("block")
+        segs = self._segs if not self.path else self._parts("segments", "block", sorted({i // ids.PER_EPISODE // BLOCK for i in found}))
+        segs = self.segments().where(F.lit(False)) if segs is None else segs.drop("block")
         return segs.where(F.col("segment_id").isin(found))
 
     def postings(self, kind: str) -> DataFrame:
@@ -178,12 +184,16 @@ class Index:
         """(key, segment_id) of the given keys."""
         if not self.path:
             return _keys(self._segs, kind, self._tokenizer).where(F.col("key").isin(keys)).select("key", "segment_id")
-        found = self.spark.read.parquet(f"{self.path}/postings/{kind}").where(F.col("bucket").isin(_buckets(keys)) & F.col("key").isin(keys))
-        return found.select("key", F.explode("segment_ids").alias("segment_id"))
+        found = self._parts(f"postings/{kind}", "bucket", _buckets(keys))
+        if found is None:
+            return self.spark.createDataFrame([], "key string, segment_id bigint")
+        return found.where(F.col("key").isin(keys)).select("key", F.explode("segment_ids").alias("segment_id"))
 
     def surface_lemmas(self, surfaces: list[str]) -> DataFrame:
         """(surface, lemma) of the given surfaces."""
         if self.path:
-            pairs = self.spark.read.parquet(f"{self.path}/surface_lemmas").where(F.col("bucket").isin(_buckets(surfaces)))
+            pairs = self._parts("surface_lemmas", "bucket", _buckets(surfaces))
+            if pairs is None:
+                return self.spark.createDataFrame([], "surface string, lemma string")
             return pairs.where(F.col("surface").isin(surfaces)).select("surface", "lemma")
         return segment_tokens(self._segs, self._tokenizer).where(F.col("surface").isin(surfaces)).select("surface", "lemma").distinct()
