@@ -132,10 +132,16 @@ def write_index(segs: DataFrame, path: str, tokenizer: Tokenizer = regex_tokeniz
     """
     blocks = segs.withColumn("block", F.floor(F.col("episode") / BLOCK)).repartition("block", "episode").sortWithinPartitions("block", "segment_id")
     blocks.write.mode("overwrite").partitionBy("block").parquet(f"{path}/segments")
+    stored = segs.sparkSession.read
+    segs = stored.parquet(f"{path}/segments").drop("block")  # cut into sentences once
     for kind in ("surface", "lemma"):
         lists = postings(segs, kind, tokenizer).repartition("bucket", "block").sortWithinPartitions("bucket", "key", "block")
         lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{kind}")
-    pairs = segment_tokens(segs, tokenizer).select("surface", "lemma").distinct().withColumn("bucket", ids.bucket(F.col("surface")))
+    if tokenizer is regex_tokenizer:  # a surface's only lemma is its lower case
+        pairs = stored.parquet(f"{path}/postings/surface").select(F.col("key").alias("surface")).distinct().withColumn("lemma", F.lower("surface"))
+    else:
+        pairs = segment_tokens(segs, tokenizer).select("surface", "lemma").distinct()
+    pairs = pairs.withColumn("bucket", ids.bucket(F.col("surface")))
     pairs.repartition("bucket", F.substring("surface", 1, 1)).sortWithinPartitions("bucket", "surface").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/surface_lemmas")
 
 
