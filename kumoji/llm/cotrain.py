@@ -6,10 +6,11 @@ all unlabelled documents, labels the `take` it is surest of and hands them to th
 logit is calibrated on a quarter of the labelled sample that neither was trained on (on all of it where that quarter
 lacks a class), and a third logistic regression combines the two calibrated views.
 
-Training takes at most `per_class` labelled documents of each class, chosen by a hash of the id. The unlabelled ones'
-features are made once, into a table in the shared folder; in a round each task sends on the few it is surest of, and
-the driver gets `take` a view. Scoring covers every document in one pass without a shuffle. A model is a few hundred
-numbers.
+Training takes at most `per_class` labelled documents of each class, chosen by a hash of the id. The unlabelled ones
+are told by a Bloom filter of the labels' ids; what it stops wrongly is found by a join of ids alone and added, so that
+none is lost and no text is shuffled but theirs. The features are made once, into a table in the shared folder; in a
+round each task sends on the few it is surest of, and the driver gets `take` a view. Scoring covers every document in one
+pass without a shuffle. A model is a few hundred numbers.
 
 Nulls and odd rows: null and empty texts, sources and languages are values of their own; a null length is the text's;
 labels that are null or of unknown documents are not used; a document with several labels counts as good if one says
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_text, in_slices
+from .common import Scratch, as_text, in_slices, maybe_in, maybe_in_column
 from .toxicity import held_out
 
 SHAPES, SOURCES, PAIRS, KEPT = 256, 64, 128, 250_000
@@ -156,6 +157,36 @@ def _constant(share: float) -> Model:
     return Model([np.r_[np.zeros(s), bias] for s in sizes], [np.array([1.0, 0.0])] * 2, np.array([0.5, 0.5, 0.0]))
 
 
+_SCHEMA = "id bigint, y int, a array<float>, b array<float>"
+
+
+def _features(rows: DataFrame, skip=None) -> DataFrame:
+    """(id, y, a, b) of rows (id, y, text, source, lang, chars), but for those whose hash h a broadcast filter `skip` may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float32())
+        for batch in batches:
+            if skip is not None:
+                batch = batch.filter(pa.array(~skip.value.test(batch.column("h").to_numpy())))
+            for part in in_slices(batch, "text", 4 << 20):
+                a, b = _views(part)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(list(a), kind), pa.array(list(b), kind)], ["id", "y", "a", "b"])
+
+    return rows.mapInArrow(run, _SCHEMA)
+
+
+def _unlabelled(rows: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, a, b) of all rows with an id that is not among ids (one column, id)."""
+    own = rows.where("id is not null").withColumns({"y": F.lit(-1), "h": F.xxhash64("id")})
+    known = maybe_in(ids.select(F.xxhash64("id").alias("h")), ids.count())
+    stopped, _ = scratch.write(own.select("id", "h").where(maybe_in_column(known)("h")).select("id").join(ids, "id", "left_anti").distinct())
+    found = _features(own, known)
+    if n := stopped.count():
+        again = maybe_in_column(maybe_in(stopped.select(F.xxhash64("id").alias("h")), n))
+        found = found.unionAll(_features(own.where(again("h")).join(stopped, "id", "left_semi")))
+    return found.drop("y")
+
+
 def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, chars_col: str) -> DataFrame:
     text = as_text(text_col)
     chars = F.coalesce(F.col(chars_col).cast("bigint"), F.length(text).cast("bigint"))
@@ -225,24 +256,15 @@ def fit(
     chosen = known.where("y = 0").orderBy(*order).limit(per_class).unionAll(known.where("y = 1").orderBy(*order).limit(per_class))
     rows = _columns(docs, id_col, text_col, source_col, lang_col, chars_col).withColumn("id", F.col("id").cast("bigint"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.float32())
-        for batch in batches:
-            for part in in_slices(batch, "text", 4 << 20):
-                a, b = _views(part)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(list(a), kind), pa.array(list(b), kind)], ["id", "y", "a", "b"])
-
-    schema = "id bigint, y int, a array<float>, b array<float>"
     # At most 2 * per_class ids: a bounded broadcast; the smallest row stands for an id that several rows have.
     sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct("text", "source", "lang", "chars")).alias("r")).select("id", "y", "r.*")
-    found = sample.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("id")
+    found = _features(sample).toArrow().combine_chunks().sort_by("id")
     y = found["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return _constant(float((y == 1).sum() / max(1, len(y))))
     a, b = (np.stack(found[c].to_numpy()) for c in ("a", "b"))
-    free = rows.where("id is not null").join(usable.select(F.col(label_id).cast("bigint").alias("id")), "id", "left_anti").withColumn("y", F.lit(-1))
     scratch = Scratch(docs.sparkSession, "cotrain")
-    pool = scratch.keep(free.mapInArrow(run, schema).drop("y"))
+    pool = scratch.keep(_unlabelled(rows, usable.select(F.col(label_id).cast("bigint").alias("id")), scratch))
     model = cotrained([a, b], y.astype(float), lambda models, numbers, taken: _surest(pool, models, numbers, taken, sure, scratch), rounds, take)
     scratch.drop(scratch.root)
     return model

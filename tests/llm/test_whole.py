@@ -6,7 +6,7 @@ import numpy as np
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from kumoji.llm import cotrain, simhash, toxicity, widehash
+from kumoji.llm import common, cotrain, simhash, toxicity, widehash
 
 from test_llm import ODD, docs_of, labelled, prose
 
@@ -106,3 +106,35 @@ def test_every_ngram_of_a_long_word_is_in_a_piece():
         for size in toxicity.SIZES:
             assert {marked[i : i + size] for i in range(len(marked) - size + 1)} == {p[i : i + size] for p in parts for i in range(len(p) - size + 1)}
     assert cotrain._shapes["a" * 64 + "0"] != cotrain._shapes["a" * 64]
+
+
+def test_unlabelled_documents_need_no_shuffle_of_texts(spark):
+    rng, store = random.Random(8), spark.sparkContext._jsc.sc()
+    docs = spark.createDataFrame([(i, "%0999x word" % rng.getrandbits(3996), "s", "en", 1) for i in range(1500)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+
+    def shuffled():
+        store.listenerBus().waitUntilEmpty(30_000)
+        executors = store.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        cotrain.fit(docs, labels, per_class=20, rounds=1, take=5)
+        assert shuffled() - before < 200_000  # texts: 1,500,000 bytes
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_unlabelled_documents_are_all_of_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 900 if i % 50 else None, f"text {i}", "s", "en", 1) for i in range(1000)], "id long, text string, source string, lang string, chars long")
+    ids = spark.createDataFrame([(i // 2 * 3,) for i in range(600)] + [(None,)], "id long")
+    want = sorted(i % 900 for i in range(1000) if i % 50 and i % 900 % 3)
+    for most in (common.FILTER_MOST, 64 * 8):  # the small filter is full, and stops everything
+        monkeypatch.setattr(common, "FILTER_MOST", most)
+        monkeypatch.setattr(common, "max", lambda *x, most=most: min(most, max(*x)), raising=False)
+        scratch = common.Scratch(spark, "test")
+        got = cotrain._unlabelled(docs, ids, scratch)
+        assert sorted(r.id for r in got.collect()) == want and got.columns == ["id", "a", "b"]
