@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
@@ -138,3 +139,20 @@ def test_unlabelled_documents_are_all_of_them(spark, monkeypatch):
         scratch = common.Scratch(spark, "test")
         got = cotrain._unlabelled(docs, ids, scratch)
         assert sorted(r.id for r in got.collect()) == want and got.columns == ["id", "a", "b"]
+
+
+def test_pipeline_batches_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id as doc_id", "repeat('x', 2000) as text")
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage.__wrapped__.__name__ == stage.__name__
+        found = [r.n for r in corpus_pipeline.small_batches(lambda spark, docs, _: docs.mapInArrow(sizes, "n bigint"))(spark, docs, "").collect()]
+        assert max(found) < 1.1 * corpus_pipeline.BATCH and sum(found) > 18_000_000
+    finally:
+        spark.conf.set(key, before)
