@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, in_slices, worker_held
+from .common import as_text, in_slices, tidy, worker_held
 
 #: ASCII marks that end words, and ASCII letters and digits, by byte.
 MARKS = b".,;:!?*&%$#"
@@ -234,6 +234,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: str, ro
     shared, key = docs.sparkSession.sparkContext.broadcast(source), hashlib.sha256(source.encode()).hexdigest()
     rows = docs.select(F.col(id_col).alias("doc_id"), as_text(text_col).alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_held(f"bpe {key}", lambda: Encoder(shared.value))
         for batch in batches:

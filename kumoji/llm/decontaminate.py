@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_text
+from .common import arrow_map, as_text, tidy, worker_held
 
 #: Lower case for A-Z; a blank for the other ASCII characters that are not letters or digits.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_cache: dict[str, object] = {}
 
 
 def words(text: str) -> list[bytes]:
@@ -77,9 +76,7 @@ class Scanner:
 def _scanner(shared, key: str, alone: bool) -> Scanner:
     if not alone:
         return Scanner(shared.value)
-    if _cache.get("key") != key:
-        _cache.update(key=key, scanner=Scanner(shared.value))
-    return _cache["scanner"]
+    return worker_held(f"decontamination {key}", lambda: Scanner(shared.value))
 
 
 def _hits(texts: list[str], shared: list, key: str) -> list[tuple[list[bytes], list[tuple[int, int]], set[str]]]:
@@ -142,6 +139,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """docs without those that hold any window of the benchmark."""
     shared, key = _prepared(docs, benchmark, item_col, item_text, width, part_bytes)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(text_col)]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import arrow_map, in_slices, worker_held
+from .common import arrow_map, in_slices, tidy, worker_held
 
 #: A perfect difference set modulo 31; each remainder but 0 is one difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -135,6 +135,7 @@ def _looked_at(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
         columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([*columns, lists], schema.names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, "text"):
@@ -180,6 +181,7 @@ def _anchors(texts: DataFrame, window: int) -> DataFrame:
 def _shared(anchors: DataFrame) -> DataFrame:
     """(r1, at) of the anchors that two texts have."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, shared = None, None, False  # of the group that the last batch ended in
         of: list[np.ndarray] = []  # its rows so far, while they are all of one text
@@ -265,6 +267,7 @@ def _taken(windows: DataFrame) -> DataFrame:
     """(r1, doc, at, n): runs of windows that a smaller document has."""
     names = ["r1", "doc", "at", "n"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first = None, None  # of the group that the last batch ended in
         for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, in_slices, worker_held
+from .common import as_text, in_slices, tidy, worker_held
 
 BITS = 18
 BUCKETS, DIMS = 1 << BITS, 2
@@ -256,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     balance = np.array([sum(n) / (2 * n[0]), sum(n) / (2 * n[1])])
 
     def learned(shared, round_: int):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, done, steps = shared.value, 0, 0
             model = model.filled(model.packed())  # the broadcast value is shared by the worker's tasks
@@ -293,6 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     shared = spark.sparkContext.broadcast(model)
 
+    @tidy
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
@@ -318,6 +320,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared, key = _shared(docs, model)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), as_text(text_col).alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_held(f"toxicity {key}", lambda: Scorer(shared.value))
         for batch in batches:
@@ -332,6 +335,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
     """docs without those scored at the threshold or above."""
     shared, key = _shared(docs, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_held(f"toxicity {key}", lambda: Scorer(shared.value))
         for batch in batches:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import Scratch, as_text, free_name, in_slices, maybe_in, maybe_in_column
+from .common import Scratch, as_text, free_name, in_slices, maybe_in, maybe_in_column, tidy
 from .simhash import SEED, connected
 from .substring import window_hashes, word_hashes
 from .trie import classes
@@ -106,6 +106,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int
     text = as_text(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, "text", 4 << 20):
@@ -124,11 +125,23 @@ def _matrix(fps: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype(np.uint64).reshape(-1, WORDS)
 
 
-def _trie_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, label: np.ndarray, budget: int, every: bool) -> tuple[np.ndarray, ...]:
-    """Near pairs (u, v, bits) of each trie, a run of equal keys: such that span its classes, or every one of different labels."""
+def _earlier(own: np.ndarray, keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the pairs' nodes meet in a trie before this one, whose first key is `own`; keys that are 0 tell of no trie."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), FLUSH):
+        left, right = keys[i[a : a + FLUSH]], keys[j[a : a + FLUSH]]
+        same = (left == right) & (left != 0)
+        first = left[np.arange(len(left)), same.argmax(axis=1)]
+        out[a : a + FLUSH] = same.any(axis=1) & (first != own[i[a : a + FLUSH]])
+    return out
+
+
+def _trie_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, label: np.ndarray, own: np.ndarray, keys: np.ndarray, budget: int, every: bool) -> tuple[np.ndarray, ...]:
+    """Near pairs (u, v, bits) of each trie, a run of equal keys: such that span its classes, or every one of different
+    labels, but for those that an earlier trie has as well."""
     group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
     order = np.lexsort((node, *(fp[:, w] for w in range(WORDS - 1, -1, -1)), group))
-    group, node, fp, label = group[order], node[order], fp[order], label[order]
+    group, node, fp, label, own, keys = (x[order] for x in (group, node, fp, label, own, keys))
     fresh = np.r_[True, (group[1:] != group[:-1]) | (fp[1:] != fp[:-1]).any(axis=1)]
     at = np.flatnonzero(fresh)
     first = at[np.cumsum(fresh) - 1]
@@ -136,18 +149,22 @@ def _trie_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, label: np.nda
     found = [(first[twin], twin, np.zeros(len(twin), np.int16))]
     near: list[tuple[np.ndarray, ...]] = []
     if every:
-        own = np.unique(np.stack([group[at], label[at]]), axis=1, return_inverse=True)[1]  # labels within a trie
-        classes(fp[at], group[at], budget, (budget,), near, own)
+        within = np.unique(np.stack([group[at], label[at]]), axis=1, return_inverse=True)[1]  # labels within a trie
+        classes(fp[at], group[at], budget, (budget,), near, within)
     else:
         classes(fp[at], group[at], budget, tuple(budget * k // 4 for k in (1, 2, 3, 4)), near)
     found += [(at[i], at[j], bits) for i, j, bits in near]
     i, j, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+    if every:
+        new = ~_earlier(own, keys, i, j)
+        i, j, bits = i[new], j[new], bits[new]
     return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), bits
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """rows (k, node) of the keys that two nodes have at least."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, waiting = None, None  # the last key, and its first row as long as it is alone
 
@@ -166,53 +183,57 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k bigint, node bigint")
 
 
-WALKED = "u bigint, v bigint, bits int, k bigint, fp binary"
+WALKED = "u bigint, v bigint, bits int, k bigint, fp binary, own bigint, keys array<bigint>"
 
 
 def _walked(rows: DataFrame, budget: int, max_group: int, round_: int, every: bool) -> DataFrame:
-    """rows (k, node, fp, label): near pairs (u, v, bits), and the rows of tries too large under new keys (u, v the label, k, fp)."""
+    """rows (k, node, fp, label, own, keys): near pairs (u, v, bits), and the rows of tries too large under new keys (u, v
+    the label, k, fp, own, keys). own is the trie's first key; keys, of each node as many, are read with every only."""
 
-    def out(u, v, bits=None, k=None, fp=None) -> pa.RecordBatch:
+    def out(u, v, bits=None, k=None, fp=None, own=None, keys=None) -> pa.RecordBatch:
         n = len(u)
-        columns = [pa.array(u, pa.int64()), pa.array(v, pa.int64())] + [pa.array(x if x is not None else [None] * n, kind) for x, kind in ((bits, pa.int32()), (k, pa.int64()), (fp, pa.binary()))]
-        return pa.RecordBatch.from_arrays(columns, ["u", "v", "bits", "k", "fp"])
+        kinds = (bits, pa.int32()), (k, pa.int64()), (fp, pa.binary()), (own, pa.int64()), (keys, pa.list_(pa.int64()))
+        columns = [pa.array(u, pa.int64()), pa.array(v, pa.int64())] + [pa.array(x if x is not None else [None] * n, kind) for x, kind in kinds]
+        return pa.RecordBatch.from_arrays(columns, ["u", "v", "bits", "k", "fp", "own", "keys"])
 
-    def dealt(name: int, node: np.ndarray, fp: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def dealt(name: int, node: np.ndarray, fp: np.ndarray, label: np.ndarray, own: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         raw = [row.astype(">u8").tobytes() for row in fp]
         block = np.array([xxh64_intdigest(int(n).to_bytes(8, "little", signed=True), round_) % BLOCKS for n in node])
         for other in range(BLOCKS):
             low, high = np.minimum(block, other), np.maximum(block, other)
             k = [xxh64_intdigest(b"%d %d %d" % (name, a, b), round_) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-            yield out(node, label, None, np.array(k, np.uint64).view(np.int64), raw)
+            yield out(node, label, None, np.array(k, np.uint64).view(np.int64), raw, own, list(keys))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         large = None  # the key of the trie that is being dealt out
 
         def done(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal large, held
-            key, node, fp, label = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
             if large is not None:
                 n = np.searchsorted(key, large, "right") if key[0] == large else 0
                 if n:
-                    yield from dealt(large, node[:n], fp[:n], label[:n])
-                    key, node, fp, label = key[n:], node[n:], fp[n:], label[n:]
+                    yield from dealt(large, *(x[:n] for x in rest))
+                    key, *rest = (x[n:] for x in (key, *rest))
             if len(key):
                 cut = len(key) if last else np.searchsorted(key, key[-1])
                 if cut:
-                    u, v, bits = _trie_links(key[:cut], node[:cut], fp[:cut], label[:cut], budget, every)
+                    u, v, bits = _trie_links(key[:cut], *(x[:cut] for x in rest), budget, every)
                     if len(u):
                         yield out(u, v, bits)
-                    key, node, fp, label = key[cut:], node[cut:], fp[cut:], label[cut:]
+                    key, *rest = (x[cut:] for x in (key, *rest))
             if len(key) > max_group:
                 large = int(key[-1])
-                yield from dealt(large, node, fp, label)
-                key, node, fp, label = key[:0], node[:0], fp[:0], label[:0]
-            held = [(key, node, fp, label)] if len(key) else []
+                yield from dealt(large, *rest)
+                key, *rest = (x[:0] for x in (key, *rest))
+            held = [(key, *rest)] if len(key) else []
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column("k").to_numpy(), batch.column("node").to_numpy(), _matrix(batch.column("fp")), batch.column("label").to_numpy()))
+                keys = batch.column("keys").flatten().to_numpy().reshape(batch.num_rows, -1)
+                held.append((batch.column("k").to_numpy(), batch.column("node").to_numpy(), _matrix(batch.column("fp")), batch.column("label").to_numpy(), batch.column("own").to_numpy(), keys))
                 if sum(len(h[0]) for h in held) > FLUSH:
                     yield from done(False)
         if held:
@@ -222,15 +243,15 @@ def _walked(rows: DataFrame, budget: int, max_group: int, round_: int, every: bo
 
 
 def near_pairs(shared: DataFrame, nodes: DataFrame, similarity: float, scratch: Scratch, max_group: int = 1 << 16, every: bool = False) -> DataFrame:
-    """(u, v, bits): near pairs of nodes (node, fp, label) in the tries of shared (k, node); see _trie_links."""
-    rows, found, round_ = shared.join(nodes, "node").select("k", "node", "fp", "label"), [], 0
+    """(u, v, bits): near pairs of nodes (node, fp, label, keys) in the tries of shared (k, node); see _trie_links."""
+    rows, found, round_ = shared.join(nodes, "node").select("k", "node", "fp", "label", F.col("k").alias("own"), "keys"), [], 0
     while True:
         done = scratch.keep(_walked(rows, budget_for(similarity), max_group, round_, every))
         found.append(done.where(F.col("k").isNull()).select("u", "v", "bits"))
         large = done.where(F.col("k").isNotNull())
         if not large.take(1):
             break
-        rows, round_ = large.select("k", F.col("u").alias("node"), "fp", F.col("v").alias("label")), round_ + 1
+        rows, round_ = large.select("k", F.col("u").alias("node"), "fp", F.col("v").alias("label"), "own", "keys"), round_ + 1
     return reduce(DataFrame.unionAll, found).groupBy("u", "v").agg(F.min("bits").alias("bits"))
 
 
@@ -242,6 +263,7 @@ def shingled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wid
     name = F.xxhash64("doc_id", "version")
     sent = maybe_in(names.select(name), names.count())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -276,7 +298,7 @@ def joined(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
     """(node, root) of the nodes that are linked with others. nodes has node, least, fp and keys."""
     spark = docs.sparkSession
     shared = scratch.keep(_shared(nodes.select(F.explode("keys").alias("k"), "node")))
-    bare = nodes.select("node", "fp", F.col("node").alias("label"))
+    bare = nodes.select("node", "fp", F.col("node").alias("label"), F.array().cast("array<bigint>").alias("keys"))
     spanning = scratch.keep(near_pairs(shared, bare, similarity, scratch, max_group))
     if not spanning.take(1):
         return spark.createDataFrame([], "node bigint, root bigint")
@@ -296,7 +318,11 @@ def joined(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
     failed = _across(tried.where("not same").select("u", "v"), roots)
     bad = torn.join(failed.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("class").distinct()
     again = torn.join(bad, "class", "left_semi").select("node")
-    labelled = nodes.select("node", "fp").join(again, "node", "left_semi").join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"))
+    labelled = nodes.select("node", "fp", "keys").join(again, "node", "left_semi").join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"), "keys")
+    # A trie walks one of several nodes of one fingerprint only, so of these no trie may leave a pair to an earlier one.
+    twins = labelled.groupBy("fp").agg(F.count(F.lit(1)).alias("twins")).where("twins > 1")
+    alone = F.col("twins").isNull()
+    labelled = labelled.join(twins, "fp", "left").withColumn("keys", F.transform("keys", lambda k: F.when(alone, k).otherwise(F.lit(0)))).drop("twins")
     third = near_pairs(shared.join(again, "node", "left_semi"), labelled, similarity, scratch, max_group, every=True)
     third = scratch.keep(verified(third.select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti"), sets, similarity))
     return connected(tried.unionAll(third).where("same").select("u", "v"), spark)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from kumoji.llm import common, cotrain, simhash, toxicity, widehash
+from kumoji.llm import bpe, common, cotrain, decontaminate, simhash, substring, toxicity, widehash
 
 from test_llm import ODD, docs_of, labelled, prose
 
@@ -156,3 +156,19 @@ def test_pipeline_batches_are_bounded_by_bytes(spark):
         assert max(found) < 1.1 * corpus_pipeline.BATCH and sum(found) > 18_000_000
     finally:
         spark.conf.set(key, before)
+
+
+def test_pipeline_workers_give_memory_back_after_each_task(spark, monkeypatch):
+    seen, before = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, *a, **b: seen.append(f) or before(self, f, *a, **b))
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", " ".join("abcdefghijk"))], "item_id string, text string")
+    model = toxicity.Model()
+    for df in (toxicity.keep(docs, model), widehash.near_dedup(docs), substring.dedup(docs), decontaminate.clean(docs, items), bpe.digests(docs, common.tokenizer_path())):
+        assert df.columns[0] == "doc_id"
+    freed = []
+    monkeypatch.setattr(common, "release", lambda: freed.append(1))
+    assert len(seen) >= 10
+    for f in seen:
+        n = len(freed)
+        assert list(f(iter(()))) == [] and len(freed) > n
