@@ -164,15 +164,16 @@ def connected(edges: DataFrame, spark: SparkSession, max_rounds: int = 60) -> Da
     """(node, root): each node of edges (u, v) with its component's smallest node, by alternating large and small stars.
 
     A round only sends each node's smallest neighbour to its other neighbours; the minimum is pre-aggregated, so a
-    node with very many links needs no task of its own.
+    node with very many links needs no task of its own. Joins are merges: a broadcast of each round's neighbours would be
+    one more job and pass through the driver. It ends when all edges are stars: a node has one edge up, or is a root.
     """
-    scratch, last, old = Scratch(spark, "connected"), None, None
+    scratch, last = Scratch(spark, "connected"), None
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        out = both.join(least, "u")
+        out = both.join(least.hint("merge"), "u")
         if large:
             out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -181,12 +182,14 @@ def connected(edges: DataFrame, spark: SparkSession, max_rounds: int = 60) -> Da
 
     for _ in range(max_rounds):
         edges, path = scratch.write(star(star(edges, True), False))
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionAll(edges.select("v", F.lit(0)))
+        loose = ends.groupBy("node").agg(F.sum("up").alias("n"), F.min("up").alias("least")).where("n > 1 or n = 1 and least = 0")
+        settled = not loose.agg(F.count(F.lit(1))).first()[0]
         if last:
             scratch.drop(last)
-        if state == old:
+        if settled:
             break
-        last, old = path, state
+        last = path
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -244,7 +244,7 @@ def _walked(rows: DataFrame, budget: int, max_group: int, round_: int, every: bo
 
 def near_pairs(shared: DataFrame, nodes: DataFrame, similarity: float, scratch: Scratch, max_group: int = 1 << 16, every: bool = False) -> DataFrame:
     """(u, v, bits): near pairs of nodes (node, fp, label, keys) in the tries of shared (k, node); see _trie_links."""
-    rows, found, round_ = shared.join(nodes, "node").select("k", "node", "fp", "label", F.col("k").alias("own"), "keys"), [], 0
+    rows, found, round_ = shared.join(nodes.hint("merge"), "node").select("k", "node", "fp", "label", F.col("k").alias("own"), "keys"), [], 0
     while True:
         done = scratch.keep(_walked(rows, budget_for(similarity), max_group, round_, every))
         found.append(done.where(F.col("k").isNull()).select("u", "v", "bits"))
@@ -283,14 +283,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     enough = both >= similarity * (F.size("a") + F.size("b") - both)
-    return pairs.join(left, "u").join(right, "v").select("u", "v", enough.alias("same"))
+    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", enough.alias("same"))
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes have different roots; a node without one is its own."""
     out = pairs
     for c in ("u", "v"):
-        out = out.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+        out = out.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")).hint("merge"), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
     return out.where("u_root <> v_root").select(pairs.columns)
 
 
@@ -311,7 +311,8 @@ def joined(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
     rest = _across(spanning.select("u", "v").join(nearest, ["u", "v"], "left_anti"), roots)
     second = scratch.keep(verified(rest, sets, similarity))
     tried = first.unionAll(second)
-    roots = connected(tried.where("same").select("u", "v"), spark)
+    linked = lambda more, roots: more.where("same").select("u", "v").unionAll(roots.select("node", "root"))
+    roots = connected(linked(second, roots), spark)
     # Classes of the fingerprints that have fallen apart: those with a failed pair that joins different components.
     torn = connected(spanning.select("u", "v"), spark).withColumnRenamed("root", "class")
     torn = torn.unionAll(torn.select(F.col("class").alias("node"), "class").distinct())  # connected() does not list the roots
@@ -325,7 +326,7 @@ def joined(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
     labelled = labelled.join(twins, "fp", "left").withColumn("keys", F.transform("keys", lambda k: F.when(alone, k).otherwise(F.lit(0)))).drop("twins")
     third = near_pairs(shared.join(again, "node", "left_semi"), labelled, similarity, scratch, max_group, every=True)
     third = scratch.keep(verified(third.select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti"), sets, similarity))
-    return connected(tried.unionAll(third).where("same").select("u", "v"), spark)
+    return connected(linked(third, roots), spark)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, scratch: Scratch | None = None, max_group: int = 1 << 16) -> DataFrame:

@@ -172,3 +172,36 @@ def test_pipeline_workers_give_memory_back_after_each_task(spark, monkeypatch):
     for f in seen:
         n = len(freed)
         assert list(f(iter(()))) == [] and len(freed) > n
+
+
+def test_near_dedup_sends_a_pair_from_its_first_trie_only(spark):
+    keys = {n: [7, 70 + n % 2, 700] for n in range(12)} | {12: [8, 70, 700], 13: [0, 0, 0]}  # 12 meets the even ones first at 70
+    fp = lambda n: bytes(62) + n.to_bytes(2, "big")
+    own = [(k, n, fp(n), n, k, ks) for n, ks in keys.items() if n < 13 for k in ks] + [(700, 13, fp(13), 13, 700, keys[13])]
+    rows = spark.createDataFrame(own, "k long, node long, fp binary, label long, own long, keys array<long>")
+    want = sorted((a, b) for a in range(14) for b in range(a + 1, 14))
+    for max_group in (1 << 16, 8):
+        found, left = [], rows
+        for round_ in range(9):
+            done = widehash._walked(left, 90, max_group, round_, True).cache()
+            found += [(r.u, r.v) for r in done.where("k is null").collect()]
+            left = done.where("k is not null").selectExpr("k", "u as node", "fp", "v as label", "own", "keys")
+            if not left.take(1):
+                break
+        assert sorted(set(found)) == want
+        if max_group > 8:
+            assert len(found) == len(want)  # before: once for each of up to three tries
+
+
+def test_components_end_when_all_edges_are_stars(spark, monkeypatch):
+    written, write = [], common.Scratch.write
+    monkeypatch.setattr(common.Scratch, "write", lambda self, df: written.append(1) or write(self, df))
+    got = simhash.connected(spark.createDataFrame([(n, n // 100 * 100) for n in range(300)], "u long, v long"), spark)
+    assert {(r.node, r.root) for r in got.collect()} == {(n, n // 100 * 100) for n in range(300) if n % 100} and len(written) == 1
+    rng, root = random.Random(3), list(range(400))
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(n, n + 1) for n in range(300, 360)]
+    for _ in range(400):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    got = simhash.connected(spark.createDataFrame(edges, "u long, v long"), spark)
+    assert {(r.node, r.root) for r in got.collect()} == {(n, r) for n, r in enumerate(root) if n != r}
