@@ -12,7 +12,8 @@ new. Keys that one node alone has leave first, so fingerprints travel only for t
 A first walk gives pairs that span each trie's classes, nearest first. They are verified: a pair is linked if the exact
 similarity of its shingles is at least the limit. Each node's nearest pair goes first, then what still joins different
 components. Where a class of the fingerprints has fallen apart, its nodes are walked again, and every pair of different
-components within the budget is verified, so no link among the candidates is lost to one that failed. Pairs of one
+components within the budget is verified, so no link among the candidates is lost to one that failed. Of the tries
+that hold such a pair the first one sends it. Pairs of one
 verified component are never made. Shingles are read again for the texts in question only, which a Bloom filter of at
 most 64 MB finds in the table; the same filter finds the rows that go, so that no other text is shuffled.
 
