@@ -11,13 +11,16 @@ import math
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.similarity import anchors, prefix_lcs, prefix_shared_bigrams, similarity, span_lengths
-from ..functions.text import comparable_text
+from ..functions.similarity import anchors, similarity, span_lengths
+from ..functions.text import comparable_each, comparable_text
+from ..functions.windows import Neighbours, Text, mixed
 
 #: Fixed values of the matching rules.
 MIN_CONFIDENCE, INTERPOLATED = 0.58, 0.25
@@ -29,6 +32,8 @@ OVERLAP, CUE_SCORE = 5.0, 0.12
 EARLY_PART = 0.35  # of a unit: anchors behind it don't place its start
 LATE_SECONDS, LATE_SHARE = 2.5, 0.45  # a first anchor so late in its cue is drawn back to this share of the delay
 LATIN_LEAD = 1.5
+FEW = 6  # windows: so few are compared one by one
+FIRST_LOOK = 16  # spans whose contexts are compared first, the most promising ones
 
 _LATIN = re.compile(r"[A-Za-z0-9]+")
 
@@ -51,6 +56,14 @@ class Lattice:
     ends: list[float]
     cues: list[tuple[float, float, str]] = field(default_factory=list)
 
+    @cached_property
+    def windows(self) -> Text:
+        return Text(self.text)
+
+    @cached_property
+    def times(self) -> np.ndarray:
+        return np.array(self.starts)
+
 
 @dataclass(frozen=True)
 class Draft:
@@ -78,10 +91,11 @@ def lattice(cues: Iterable[tuple[float, float, str]]) -> Lattice:
     chars, starts, ends, kept = [], [], [], []
     for start, end, text in cues:
         kept.append((start, end, text))
-        own = [c for raw in text for c in comparable_text(raw)]
+        own = comparable_each(text)
         each = max((end - start) / len(own), 0.05) if own else 0
-        for i, c in enumerate(own):
-            chars.append(c), starts.append(start + i * each), ends.append(start + (i + 1) * each)
+        chars.append(own)
+        starts += [start + i * each for i in range(len(own))]
+        ends += [start + i * each for i in range(1, len(own) + 1)]
     return Lattice("".join(chars), starts, ends, kept)
 
 
@@ -106,58 +120,77 @@ def _occurrences(text: str, part: str, low: int, high: int) -> Iterable[int]:
         at = text.find(part, at + 1)
 
 
-def _context(a: str, b: str) -> float:
-    return 0.0 if len(a) < 6 else similarity(a[:120], b)
-
-
 def _window(context: str) -> int:
     return min(220, max(30, math.ceil(1.8 * len(context)) + 24))
 
 
+def _all_there(context: str, near: str) -> float | None:
+    """The similarity of a neighbour's text, its first 120 characters, and what is near, if that has all of these; else
+    None. Fewer than six characters don't count."""
+    a, n = context[:120], min(120, len(context))
+    if n < 6:
+        return 0.0
+    return float(mixed(n, len(near), n, n - 1)) if a in near else None
+
+
 def best_candidate(needle: str, before: str, after: str, lat: Lattice, cursor: int, previous_end: float, matched: bool) -> Candidate | None:
-    """The span of a lattice's text with the highest score; the first one wins ties."""
+    """The span of a lattice's text with the highest score; the first one wins ties.
+
+    All spans are scored with the most that their contexts can add; contexts are compared only for those that may still
+    be the best, until that is one whose contexts are known.
+    """
     text = lat.text
     if not needle or not text:
         return None
     low = max(0, cursor - 25)
     high = min(len(text), low + WINDOW + len(needle))
-    starts = {at - offset for part, offset in anchors(needle) for at in islice(_occurrences(text, part, low, high), OCCURRENCES)}
-    starts = sorted({max(0, at) for at in starts})  # a part at the window's start may belong to a span that begins before it
-    if not starts:
-        starts = range(low, high, max(1, len(needle) // 3))
-    n = len(needle)
-    spans: list[tuple[float, int, int, float]] = []  # score without what follows, start, length, confidence
-    for at in starts:
-        lengths = span_lengths(n, len(text) - at)
-        if not lengths:
-            continue
-        span = text[at : at + lengths[-1]]
-        common, shared = prefix_lcs(needle, span), prefix_shared_bigrams(needle, span)
-        fixed = -DISTANCE_WEIGHT * min(abs(at - cursor), WINDOW) / WINDOW
-        if before:
-            fixed += PREVIOUS_WEIGHT * _context(before, text[max(0, at - _window(before)) : at])
-        if matched and lat.starts[at] - previous_end > JUMP_SECONDS:
-            fixed -= JUMP_PENALTY
-        for length in lengths:
-            if length == n and span[:length] == needle:
-                confidence = 1.0
-            else:
-                confidence = 0.65 * 2 * common[length - 1] / (n + length) + 0.35 * 2 * shared[length - 1] / max(1, max(1, n - 1) + length - 1)
-            spans.append((confidence + fixed, at, length, confidence))
-    spans.sort(key=lambda s: -s[0])
-    after_at: dict[int, float] = {}  # what follows only depends on where a span ends
-    best = None
-    for score, at, length, confidence in spans:
-        if best is not None and score + NEXT_WEIGHT * bool(after) < best.score:
-            break  # not even with what follows in full, nor can any later one
-        if after:
-            end = at + length
-            if end not in after_at:
-                after_at[end] = _context(after, text[end : end + _window(after)])
-            score += NEXT_WEIGHT * after_at[end]
-        if best is None or score > best.score or score == best.score and (at, length) < (best.at, best.length):
-            best = Candidate(at, length, confidence, score)
-    return best
+    found = {at - offset for part, offset in anchors(needle) for at in islice(_occurrences(text, part, low, high), OCCURRENCES)}
+    found = sorted({max(0, at) for at in found})  # a part at the window's start may belong to a span that begins before it
+    n, behind, ahead = len(needle), _window(before), _window(after)
+    lengths = span_lengths(n, 2 * n + 19)  # all of them
+    if len(found) == 1 and text.startswith(needle, found[0]) and found[0] + lengths[-1] + ahead <= len(text):
+        # with all that follows there too, other lengths score less, as what follows them is as much text
+        at = found[0]
+        previous, following = _all_there(before, text[max(0, at - behind) : at]), _all_there(after, text[at + n : at + n + ahead])
+        if previous is not None and following is not None:
+            jump = JUMP_PENALTY if matched and lat.starts[at] - previous_end > JUMP_SECONDS else 0.0
+            score = 1.0 + (-DISTANCE_WEIGHT * min(abs(at - cursor), WINDOW) / WINDOW + PREVIOUS_WEIGHT * previous - jump)
+            return Candidate(at, n, 1.0, score + NEXT_WEIGHT * following)
+    starts, lengths = np.array(found or range(low, high, max(1, n // 3))), np.array(lengths)
+    starts = starts[starts + lengths[0] <= len(text)]
+    if not len(starts):
+        return None
+    common, shared = lat.windows.prefixes(needle, starts, lengths)
+    confidence = 0.65 * 2 * common / (n + lengths) + 0.35 * 2 * shared / np.maximum(1, max(1, n - 1) + lengths - 1)
+    confidence[(lengths == n) & (common == n)] = 1.0
+    ends = starts[:, None] + lengths
+    confidence[ends > len(text)] = -np.inf
+    np.minimum(ends, len(text), out=ends)
+    fixed = -DISTANCE_WEIGHT * np.minimum(np.abs(starts - cursor), WINDOW) / WINDOW
+    jump = np.where(matched & (lat.times[starts] - previous_end > JUMP_SECONDS), JUMP_PENALTY, 0.0)
+    previous = Neighbours(lat.windows, before[:120], int(starts[0]) - behind, int(starts[-1]) - behind, behind) if len(before) >= 6 else None
+    following = Neighbours(lat.windows, after[:120], int(ends[0, 0]), int(ends.max()), ahead) if len(after) >= 6 else None
+    most = FIRST_LOOK
+    while True:
+        score, sure = confidence, np.ones_like(confidence, bool)
+        if previous:
+            at = starts - behind - previous.first
+            score, sure = score + (fixed + PREVIOUS_WEIGHT * previous.value[at] - jump)[:, None], sure & previous.known[at][:, None]
+        else:
+            score = score + (fixed - jump)[:, None]
+        if following:  # what follows only depends on where a span ends
+            score, sure = score + NEXT_WEIGHT * following.value[ends - following.first], sure & following.known[ends - following.first]
+        i, j = divmod(int(np.argmax(score)), len(lengths))
+        if sure[i, j]:
+            return Candidate(int(starts[i]), int(lengths[j]), float(confidence[i, j]), float(score[i, j]))
+        rest = np.flatnonzero(~sure & (score >= np.where(sure, score, -np.inf).max()))
+        if len(rest) > most:
+            rest = rest[np.argpartition(-score.ravel()[rest], most)[:most]]
+        if previous:
+            previous.find(starts[rest // len(lengths)] - behind)
+        if following:
+            following.find(ends.ravel()[rest])
+        most *= 4
 
 
 def chosen(surface: Candidate | None, reading: Candidate | None) -> Candidate | None:
@@ -200,6 +233,18 @@ class Spoken:
     text: str
     times: list[tuple[float, float, float]]  # start, end, start of the cue
 
+    @cached_property
+    def windows(self) -> Text:
+        return Text(self.text)
+
+    def similarities(self, a: str, starts: list[int], width: int) -> list[float]:
+        """similarity of a and the text's windows of a width."""
+        if len(starts) < FEW:
+            return [similarity(a, self.text[at : at + width]) for at in starts]
+        found = Neighbours(self.windows, a, starts[0], starts[-1], width)
+        found.find(np.array(starts))
+        return [float(found.value[at - starts[0]]) for at in starts]
+
 
 def spoken(lat: Lattice, low: float, high: float) -> Spoken:
     """The cues that overlap a stretch of time."""
@@ -228,13 +273,14 @@ def anchor_in(unit: Unit, cues: Spoken, low: float, high: float) -> tuple[float,
     """(start, score) of the best place in a time window where a part of the unit's beginning occurs; a Latin unit without one goes just before the first Latin character."""
     best, needle = None, unit.norm
     for part, offset in _cue_parts(needle):
-        for at in _occurrences(cues.text, part, 0, len(cues.text)):
-            start, end, cue = cues.times[at]
-            if end < low or start > high:
-                continue
-            window = cues.text[at : at + max(len(needle) - offset, len(part) + 16)]
-            score = 0.7 * similarity(needle[offset:], window) + 0.3 * len(part) / min(8, max(1, len(needle)))
+        share = 0.3 * len(part) / min(8, max(1, len(needle)))
+        if best is not None and 0.7 + share <= best[1]:
+            continue  # not even an equal window
+        places = [at for at in _occurrences(cues.text, part, 0, len(cues.text)) if not (cues.times[at][1] < low or cues.times[at][0] > high)]
+        for at, alike in zip(places, cues.similarities(needle[offset:], places, max(len(needle) - offset, len(part) + 16)), strict=True):
+            score = 0.7 * alike + share
             if best is None or score > best[1]:
+                start, end, cue = cues.times[at]
                 late = offset == 0 and not _LATIN.match(part) and start - cue > LATE_SECONDS
                 placed = cue + LATE_SHARE * (start - cue) if late else start - offset * min(0.25, max(0.04, end - start))
                 best = (max(0.0, placed), score)
@@ -370,6 +416,17 @@ def align(units: list[Unit], lat: Lattice, readings: Lattice | None = None) -> t
 
 
 SCHEMA = "episode bigint, local_index int, unit_index int, text string, start double, end double, confidence double, timing_source string, issue string"
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+_ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in map(str.split, SCHEMA.split(", "))])
+
+
+def _numbers(column: pa.ChunkedArray) -> list[float]:
+    """The values; one that is null is not a number."""
+    return [math.nan if x is None else x for x in column.to_pylist()]
+
+
+def _texts(table: pa.Table, name: str) -> list[str]:
+    return [x or "" for x in table[name].to_pylist()]
 
 
 def aligned(units: DataFrame, cues: DataFrame) -> DataFrame:
@@ -377,24 +434,31 @@ def aligned(units: DataFrame, cues: DataFrame) -> DataFrame:
 
     If both have a column `reading`, the phonetic lattice is searched too. An episode that fails is one row with the
     issue "failed" and what went wrong as its text; the others are not touched by it.
+
+    Episodes are dealt to as many tasks as the session has shuffle partitions, whatever their bytes: they are few bytes and
+    much work, so tasks made from bytes are few and uneven.
     """
     phonetic = "reading" in units.columns and "reading" in cues.columns
-    names = [part.split()[0] for part in SCHEMA.split(", ")]
-
-    def rows_of(episode: int, u: pd.DataFrame, c: pd.DataFrame) -> list[tuple]:
-        c = c.sort_values(["start", "end"])
-        own = [Unit(int(r.unit_index), int(r.block), r.text or "", comparable_text(r.text or ""), comparable_text(r.reading or "") if phonetic else "") for r in u.sort_values("unit_index").itertuples()]
-        lat = lattice((float(r.start), float(r.end), r.text or "") for r in c.itertuples())
-        readings = reading_lattice((float(r.start), float(r.end), r.reading or "") for r in c.itertuples()) if phonetic else None
-        drafts, issues = align([x for x in own if x.norm], lat, readings)
+
+    def rows_of(episode: int, u: pa.Table, c: pa.Table) -> list[tuple]:
+        numbers, blocks, texts = _numbers(u["unit_index"]), _numbers(u["block"]), _texts(u, "text")
+        spoken_as = _texts(u, "reading") if phonetic else [""] * len(texts)
+        own = [Unit(int(numbers[i]), int(blocks[i]), texts[i], comparable_text(texts[i]), comparable_text(spoken_as[i])) for i in np.argsort(numbers, kind="stable")]
+        starts, ends = _numbers(c["start"]), _numbers(c["end"])
+        order = np.lexsort((ends, starts))
+        of = lambda texts: [(float(starts[i]), float(ends[i]), texts[i]) for i in order]
+        drafts, issues = align([x for x in own if x.norm], lattice(of(_texts(c, "text"))), reading_lattice(of(_texts(c, "reading"))) if phonetic else None)
         out = [(episode, i, d.unit.index, d.unit.text, d.start, d.end, milli(d.confidence), d.source, None) for i, d in enumerate(drafts)]
         return out + [(episode, None, x.index, x.text, None, None, None, None, why) for x, why in issues]
 
-    def one(key: tuple, u: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple[pa.Scalar, ...], u: pa.Table, c: pa.Table) -> pa.Table:
+        episode = key[0].as_py()
         try:
-            out = rows_of(key[0], u, c)
+            out = rows_of(episode, u, c)
         except Exception as e:  # of this episode's data only; it becomes its result
-            out = [(key[0], None, None, f"{type(e).__name__}: {e}", None, None, None, None, "failed")]
-        return pd.DataFrame(out, columns=names).astype({"local_index": "Int32", "unit_index": "Int32", "start": "float64", "end": "float64", "confidence": "float64"})
+            out = [(episode, None, None, f"{type(e).__name__}: {e}", None, None, None, None, "failed")]
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), _ARROW.types, strict=True)], _ARROW) if out else _ARROW.empty_table()
 
-    return units.groupBy("episode").cogroup(cues.groupBy("episode")).applyInPandas(one, SCHEMA)
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units, cues = units.repartition(tasks, "episode"), cues.repartition(tasks, "episode")
+    return units.groupBy("episode").cogroup(cues.groupBy("episode")).applyInArrow(one, SCHEMA)
