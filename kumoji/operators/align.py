@@ -33,7 +33,7 @@ EARLY_PART = 0.35  # of a unit: anchors behind it don't place its start
 LATE_SECONDS, LATE_SHARE = 2.5, 0.45  # a first anchor so late in its cue is drawn back to this share of the delay
 LATIN_LEAD = 1.5
 FEW = 6  # windows: so few are compared one by one
-FIRST_LOOK = 16  # spans whose contexts are compared first, the most promising ones
+FIRST_LOOK = 64  # spans whose contexts are compared first, the most promising ones
 
 _LATIN = re.compile(r"[A-Za-z0-9]+")
 

@@ -1,11 +1,13 @@
 """The alignment's kernel, which compares a string with many windows at once, against one comparison after the other."""
 
 import random
+import re
 import sys
 from itertools import islice
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kumoji.functions import similarity as sim
 from kumoji.functions import text, windows
@@ -141,3 +143,14 @@ def test_comparable_characters():
     composed, apart = "caf\u00e9", "cafe\u0301"
     assert text.comparable_text("Ｃａｆe\u0301 5 ｶﾞー!") == composed + "5ガー"
     assert text.comparable_each(apart) == "cafe" and text.comparable_each("ｶﾞ㌢ İ") == "カセンチi\u0307"
+
+
+def test_sentences_of_any_characters(spark):
+    """The class of what ends no sentence is written as ranges; it is the same as the negated list."""
+    rng, near = random.Random(19), [chr(ord(c) + d) for c in "。！？!?.\n" for d in (-1, 1)] + [" ", "\x00", "é", "￿", "😀", "\U0010ffff"]
+    for marks in (text.TERMINATORS, text.TERMINATORS + ".", "😀"):
+        rows = [(i, drawn(rng, 30, [*marks, "\n", *near])) for i in range(200)]
+        got = spark.createDataFrame(rows, "i int, t string").select("i", text.sentences(F.col("t"), marks).alias("s")).collect()
+        pattern = re.compile(rf"[^{re.escape(marks)}\n]+[{re.escape(marks)}]*")
+        want = {i: [s for s in (x.strip(" ") for x in pattern.findall(t)) if s and not re.search(text.STRUCTURAL, s)] for i, t in rows}
+        assert {r.i: r.s for r in got} == want
